@@ -37,7 +37,7 @@ class RunIndex:
         key = np.zeros(self.n, np.int64)
         for i in range(pack):
             key *= symbols + 1
-            key[: self.n - i] += self.text[i:] + 1
+            key[: max(self.n - i, 0)] += self.text[i:] + 1
         self.levels: list[tuple[int, np.ndarray]] = []
         at = pack
         while True:
@@ -49,7 +49,7 @@ class RunIndex:
             if at >= depth or int(rank[order[-1]]) == self.n - 1:
                 break
             key = rank.astype(np.int64) * (self.n + 1)
-            key[: self.n - at] += rank[at:].astype(np.int64) + 1
+            key[: max(self.n - at, 0)] += rank[at:].astype(np.int64) + 1
             at *= 2
         self.order = order
 

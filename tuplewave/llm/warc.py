@@ -150,7 +150,7 @@ class ZipReader:
         tail_at = max(0, self.size - 22 - _MAX16)
         tail = self.read(tail_at, self.size - tail_at)
         end = tail.rfind(b"PK\x05\x06")
-        while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
+        while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
             end = tail.rfind(b"PK\x05\x06", 0, end)
         if end < 0:
             raise ValueError("no end of central directory")
