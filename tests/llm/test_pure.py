@@ -85,10 +85,21 @@ def test_encoder_equals_the_tokenizer():
     plain = Tokenizer.from_file(path)
     plain.encode_special_tokens = True
     encode = packing.Encoder(path)
-    for text in ["", "Hello  world's\n\n  42 naïve 漢字 😀!", "a\u00a0b \t\n x", "<|endoftext|> ok", "don't we'LL"]:
+    run = " \n" * packing.SPACES
+    for text in ["", "Hello  world's\n\n  42 naïve 漢字 😀!", "a\u00a0b \t\n x", "<|endoftext|> ok", "don't we'LL", f"a{run}b  c{run}", "x" * 5000]:
         assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_each_token_is_what_its_text_merges_to():
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(packing.tokenizer_path())
+    model.encode_special_tokens = True
+    special = {"<|endoftext|>"}
+    for token, number in model.get_vocab().items():
+        assert token in special or [t.id for t in model.model.tokenize(token)] == [number]
+
+
 @pytest.mark.parametrize("zip64", [True, False])
 def test_archive(zip64):
     out = io.BytesIO()

@@ -11,6 +11,7 @@ packed one by one. An empty table gives an empty result. Only the id and the tex
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import blank, materialize
 
-#: Distinct pre-tokens whose ids a task remembers.
-CACHE = 300_000
+#: Runs of this much white space take the splitter that needs no stack.
+SPACES = 2000
 
 
 class CapacityTree:
@@ -120,29 +121,46 @@ def _pieces(n: int, most: int) -> list[tuple[int, int]]:
 
 
 class Encoder:
-    """Byte-level BPE ids as little-endian unsigned 32-bit bytes; pre-tokens repeat, so their ids are remembered."""
+    """Byte-level BPE ids as little-endian unsigned 32-bit bytes, the same that ``tokenizers`` gives for the file.
+
+    ``tiktoken`` merges any neighbours that make a token, by the token's id. That gives the file's merges if their
+    results' ids ascend and each token is what its own text is merged to: inside a token's span no other
+    way leads to it. The first is checked here, the second in the tests for the public file. Long runs of white space
+    overflow the stack of its splitter, so texts with one are split here and merged by ``tokenizers``.
+    """
 
     def __init__(self, path: str) -> None:
-        import regex
-        from tokenizers import Tokenizer
+        import json
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        import regex
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        vocabulary: dict[str, int] = model["vocab"]
+        made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if any(x >= y for x, y in zip(made, made[1:])):
+            raise ValueError("the merges' results must have ascending ids")
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        ranks = {bytes(byte_of[c] for c in s): i for s, i in vocabulary.items() if all(c in byte_of for c in s)}
+        self.path = path
+        self.fast = tiktoken.Encoding("byte-level", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.long_run = re.compile(r"\s{%d}" % SPACES).search
         self.split = regex.compile(PRE_TOKEN).findall
-        self.known: dict[str, bytes] = {}
+        self.slow = None
 
     def __call__(self, text: str) -> bytes:
+        if not self.long_run(text):
+            return np.array(self.fast(text), "<u4").tobytes()
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+            self.slow.encode_special_tokens = True
         parts = self.split(text)
-        known = self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            new = [p for p in dict.fromkeys(parts) if p not in known]
-        if len(known) + len(new) > CACHE:
-            known = self.known = {}
-            new = list(dict.fromkeys(parts))
-        for part, ids in zip(new, self.model.encode_batch(new, add_special_tokens=False), strict=True):
-            known[part] = np.array(ids.ids, "<u4").tobytes()
+        new = list(dict.fromkeys(parts))
+        known = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, self.slow.encode_batch(new, add_special_tokens=False), strict=True)}
         return b"".join([known[p] for p in parts])
 
 
