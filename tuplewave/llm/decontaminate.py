@@ -7,7 +7,8 @@ outputs are at a small Hamming distance. Each repetition samples positions of on
 agree there are candidates, and the exact edit distance (free at the window's end) decides.
 
 Before that, windows which no item can match are left out by a bound that loses nothing: k edits spoil at most k*q
-of an item's q-grams, so a window with fewer q-grams of the benchmark than that leaves is farther than k away.
+of an item's q-grams, so a window with fewer q-grams of the item than that leaves is farther than k away. The q-grams are
+counted for groups of items of similar length; only items of the groups that pass are looked up.
 
 Nulls: null texts and items are empty and match nothing, null ids are carried along. Repeated rows are searched one by
 one, repeated items found once each. Empty tables give empty results. Only ids and texts are read. Ties:
@@ -17,7 +18,7 @@ of overlapping windows for one item the closest, then first, is reported.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,6 +36,8 @@ REPETITIONS, SAMPLED, WALK_WORDS = 12, 5, 16
 #: Items searched at once; more are searched in blocks.
 BLOCK_ITEMS = 5000
 _TABLE_BITS = 22
+#: Groups of items that the table of q-grams tells apart.
+BITS = 64
 
 
 def normal(text: str | None) -> list[str]:
@@ -74,6 +77,16 @@ def _hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
     return np.fromiter((known[w] for w in words), np.uint64, len(words))
 
 
+def _laid_out(texts: list[np.ndarray], gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts one after the other, each followed by ``gap`` zeros, and where each begins."""
+    sizes = np.fromiter((len(t) + gap for t in texts), np.int64, len(texts))
+    starts = np.cumsum(sizes) - sizes
+    flat = np.zeros(int(sizes.sum()), np.uint64)
+    for at, text in zip(starts.tolist(), texts, strict=True):
+        flat[at : at + len(text)] = text
+    return flat, starts
+
+
 def _gram_hashes(points: np.ndarray) -> np.ndarray:
     """Hash of each run of eight code points, by doubling."""
     h = points.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -82,22 +95,33 @@ def _gram_hashes(points: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - _TABLE_BITS)
 
 
-def embed(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, repetition: int, walk: int) -> np.ndarray:
-    """Keys of one repetition: the walked words at the sampled positions. Past its end a window has word zero."""
-    steps = 3 * walk
-    random = splitmix(np.arange(1, steps + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(repetition << 32))
-    chosen = set(np.random.default_rng(repetition).choice(steps, SAMPLED, replace=False).tolist())
+def embed(words: np.ndarray, starts: np.ndarray, repetition: int, walks: Iterable[int]) -> dict[int, np.ndarray]:
+    """Keys of one repetition by walk: the walked words at its sampled positions. Walks of all lengths take the same
+    steps, so they are walked once. Each text in ``words`` must be followed by ``room`` zeros."""
     at = starts.copy()
-    key = np.full(len(starts), repetition, np.uint64)
-    last = max(chosen)
+    key, chosen = {}, {}
+    for walk in walks:
+        key[walk] = np.full(len(starts), repetition, np.uint64)
+        chosen[walk] = set(np.random.default_rng(repetition).choice(3 * walk, SAMPLED, replace=False).tolist())
+    last = max(max(c) for c in chosen.values())
+    random = splitmix(np.arange(1, last + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(repetition << 32))
     for j in range(last + 1):
-        word = np.where(at < ends, words[np.minimum(at, len(words) - 1)], np.uint64(0))
-        if j in chosen:
-            key = splitmix(key * np.uint64(0x100000001B3) ^ word)
-        at += ((word * (random[j] | np.uint64(1)) + random[j]) >> np.uint64(63)).astype(np.int64)
+        word = words[at]
+        for walk in key:
+            if j in chosen[walk]:
+                key[walk] = splitmix(key[walk] * np.uint64(0x100000001B3) ^ word)
+        word *= random[j] | np.uint64(1)
+        word += random[j]
+        word >>= np.uint64(63)
+        at += word.view(np.int64)
     return key
 
 
+def room(walks: Iterable[int]) -> int:
+    """Zeros after a text: a walk moves on by at most one word a step."""
+    return 3 * max(walks, default=1)
+
+
 @dataclass
 class Items:
     """The benchmark as the tasks use it; its size is that of one block of items."""
@@ -110,33 +134,40 @@ class Items:
     keys: dict[int, dict[int, list[tuple[int, int]]]] = field(init=False)
 
     def __post_init__(self) -> None:
-        self.grams = np.zeros(1 << _TABLE_BITS, bool)
-        lengths = []
-        known: dict[str, int] = {}
-        self.keys = defaultdict(lambda: defaultdict(list))
-        for i, text in enumerate(self.texts):
-            if not text:
-                continue
-            points = np.frombuffer(text.encode("utf-32-le"), "<u4")
-            lengths.append(len(points))
-            if len(points) >= Q:
-                self.grams[_gram_hashes(points)] = True
-            words = _hashes(text.split(" "), known)
-            walk = self.walk(len(words))
-            for r in range(REPETITIONS):
-                key = embed(words, np.zeros(1, np.int64), np.array([len(words)]), r, walk)
-                self.keys[walk][int(key[0])].append((r, i))
-        self.keys = {w: dict(k) for w, k in self.keys.items()}
-        self.lookup = {w: np.sort(np.fromiter(k, np.uint64, len(k))) for w, k in self.keys.items()}
+        used = [i for i, text in enumerate(self.texts) if text]
         # Length classes: (least length, window, least number of q-grams that a match must have).
         self.classes = []
-        lengths = sorted(set(lengths))
+        class_of = {}
+        lengths = sorted({len(self.texts[i]) for i in used})
         while lengths:
             low = lengths[0]
             own = [n for n in lengths if n <= low * 1.1]
             lengths = lengths[len(own) :]
             need = min(n - Q + 1 - Q * self.most(n) for n in own)
+            class_of |= dict.fromkeys(own, len(self.classes))
             self.classes.append((low, own[-1] + self.most(own[-1]), need))
+        # A group is a share of the items of a class; more groups than bits share bits, which only lets more pass.
+        shares = max(BITS // max(len(self.classes), 1), 1)
+        self.groups = [[(c * shares + k) % BITS for k in range(shares)] for c in range(len(self.classes))]
+        self.group_of = {i: self.groups[class_of[len(self.texts[i])]][i % shares] for i in used}
+        self.grams = np.zeros(1 << _TABLE_BITS, np.uint64)
+        walks: dict[int, list[int]] = defaultdict(list)
+        words, known = {}, {}
+        for i in used:
+            points = np.frombuffer(self.texts[i].encode("utf-32-le"), "<u4")
+            if len(points) >= Q:
+                self.grams[_gram_hashes(points)] |= np.uint64(1 << self.group_of[i])
+            words[i] = _hashes(self.texts[i].split(" "), known)
+            walks[self.walk(len(words[i]))].append(i)
+        self.keys, self.lookup = {}, {}
+        for walk, own in walks.items():
+            keys: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            flat, starts = _laid_out([words[i] for i in own], room([walk]))
+            for r in range(REPETITIONS):
+                for i, key in zip(own, embed(flat, starts, r, [walk])[walk].tolist(), strict=True):
+                    keys[key].append((r, i))
+            self.keys[walk] = dict(keys)
+            self.lookup[walk] = np.sort(np.fromiter(keys, np.uint64, len(keys)))
 
     @staticmethod
     def walk(n_words: int) -> int:
@@ -145,19 +176,32 @@ class Items:
     def most(self, n: int) -> int:
         return int(n * self.edits)
 
-    def candidates(self, points: np.ndarray, begins: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
-        """Which of the word starts ``begins`` (in ``points``; texts end at ``doc_ends``) may start a match."""
-        out = np.zeros(len(begins), bool)
-        if any(need <= 0 for _, _, need in self.classes):
-            return ~out
-        if len(points) < Q:
-            return out
-        hit = np.concatenate(([0], np.cumsum(self.grams[_gram_hashes(points)], dtype=np.int32)))
-        # q-grams over a text's end belong to no window; they can only add hits.
-        for _, window, need in self.classes:
-            stop = np.minimum(np.minimum(begins + window, doc_ends), len(hit) - 1)
-            out |= hit[np.maximum(stop, begins.clip(max=len(hit) - 1))] - hit[np.minimum(begins, len(hit) - 1)] >= need
-        return out
+    def candidates(self, points: np.ndarray, begins: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the word starts ``begins`` (in ``points``; texts end at ``doc_ends``) may start a match, and the
+        groups of items, as bits, that each of them may match."""
+        mask = np.zeros(len(begins), np.uint64)
+        for groups, (_, _, need) in zip(self.groups, self.classes, strict=True):
+            if need <= 0:
+                mask |= np.uint64(sum(1 << g for g in set(groups)))
+        if len(points) >= Q:
+            marks = self.grams[_gram_hashes(points)]
+            hit = np.concatenate(([0], np.cumsum(marks != 0, dtype=np.int32)))
+            marks = marks[marks != 0]
+            begin = np.minimum(begins, len(hit) - 1)
+            # q-grams over a text's end belong to no window; they can only add hits.
+            for groups, (_, window, need) in zip(self.groups, self.classes, strict=True):
+                if need <= 0:
+                    continue
+                stop = np.maximum(np.minimum(np.minimum(begins + window, doc_ends), len(hit) - 1), begin)
+                left = np.flatnonzero(hit[stop] - hit[begin] >= need)
+                if not len(left):
+                    continue
+                lo, hi = hit[begin[left]], hit[stop[left]]
+                for g in groups:
+                    own = np.concatenate(([0], np.cumsum(marks >> np.uint64(g) & np.uint64(1), dtype=np.int32)))
+                    mask[left[own[hi] - own[lo] >= need]] |= np.uint64(1 << g)
+        chosen = np.flatnonzero(mask)
+        return chosen, mask[chosen]
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, words, distance) for the texts of one slice."""
@@ -175,22 +219,22 @@ class Items:
         of = np.repeat(np.arange(len(docs)), counts)
         run = np.cumsum(word_sizes + 1) - word_sizes - 1
         begins = run - np.repeat(run[np.minimum(first, len(flat) - 1)], counts) + np.repeat(doc_at, counts)
-        chosen = np.flatnonzero(self.candidates(points, begins, np.repeat(doc_at + sizes, counts)))
+        chosen, mask = self.candidates(points, begins, np.repeat(doc_at + sizes, counts))
         if not len(chosen):
             return []
         used = np.unique(of[chosen])
         known: dict[str, int] = {}
-        words = np.zeros(len(flat), np.uint64)
-        for d in used:
-            words[first[d] : first[d] + counts[d]] = _hashes(docs[d], known)
-        ends = (first + counts)[of[chosen]]
+        words, laid = _laid_out([_hashes(docs[d], known) for d in used], room(self.keys))
+        base = np.zeros(len(docs), np.int64)
+        base[used] = laid
+        starts = base[of[chosen]] + chosen - first[of[chosen]]
         pairs: set[tuple[int, int]] = set()
-        for walk, keys in self.keys.items():
-            for r in range(REPETITIONS):
-                got = embed(words, chosen, ends, r, walk)
+        for r in range(REPETITIONS):
+            for walk, got in embed(words, starts, r, self.keys).items():
                 at = np.minimum(np.searchsorted(self.lookup[walk], got), len(self.lookup[walk]) - 1)
-                for w in np.flatnonzero(self.lookup[walk][at] == got):
-                    pairs.update((int(chosen[w]), i) for rep, i in keys[int(got[w])] if rep == r)
+                for w in np.flatnonzero(self.lookup[walk][at] == got).tolist():
+                    allowed = int(mask[w])
+                    pairs.update((int(chosen[w]), i) for rep, i in self.keys[walk][int(got[w])] if rep == r and allowed >> self.group_of[i] & 1)
         found = defaultdict(list)
         for word, i in pairs:
             d, item = int(of[word]), self.texts[i]
