@@ -20,6 +20,10 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Sides with at most this many rows of a few longs may be broadcast (some tens of MB).
 BROADCAST_ROWS = 1_000_000
 
+#: Bytes of an Arrow batch to Python at most: the JVM and the worker each hold a batch and its copies for every task.
+BATCH_BYTES = 4 << 20
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -36,6 +40,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/tuplewave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of an Arrow batch to ``BATCH_BYTES``; a lower one stays. Rows are never cut."""
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 @contextlib.contextmanager
 def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
     """Inside, the shuffle files of a finished write are dropped at once instead of at the driver's next collection."""
@@ -51,6 +62,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends at a table that outlives executors."""
     spark = df.sparkSession
     ship(spark)
+    bound_batches(spark)
     path = scratch_path(spark, name)
     with shuffle_cleanup(spark):
         df.write.parquet(path)
@@ -98,6 +110,7 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
