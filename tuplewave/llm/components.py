@@ -22,7 +22,9 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
         down = pairs.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         out = down.join(least, "u").select(F.col("v").alias("src"), F.col("m").alias("dst")).union(least.select(F.col("u").alias("src"), F.col("m").alias("dst")))
-    return out.where(F.col("src") != F.col("dst")).distinct()
+    # A large star has a row for each pair at most, so only the small star's rows are made distinct.
+    out = out.where(F.col("src") != F.col("dst"))
+    return out if large else out.distinct()
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
