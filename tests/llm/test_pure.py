@@ -194,3 +194,28 @@ def test_language_model_codes():
     assert len(_own_codes(texts)) == 6
     assert begins.tolist() == [0, 3, 8]
     assert len(codes) == 12
+
+
+@pytest.mark.parametrize(("n", "bits"), [(1, 1), (40, 6), (400, 9), (400, 33)])
+def test_forest(n, bits):
+    """Both searches link just what all pairs link, with a link less than values in each group."""
+    mask = simhash.segments(3, 4)[0]
+    wild = next(b for b in range(simhash.BITS) if mask >> b & 1)
+    free = np.array([b for b in range(simhash.BITS) if not mask >> b & 1 or b == wild])
+    rng = np.random.default_rng(n + bits)
+    values = np.unique(np.array([sum(1 << int(b) for b in rng.choice(free[:bits], min(bits, int(rng.integers(0, 6))), replace=False)) for _ in range(n)], np.uint64))
+
+    def groups(links):
+        of = {i: {i} for i in range(len(values))}
+        for i, j in links:
+            if of[i] is not of[j]:
+                of[i] |= of[j]
+                of.update(dict.fromkeys(of[i], of[i]))
+        return {frozenset(g) for g in of.values()}
+
+    pairs = [(i, j) for i in range(len(values)) for j in range(i) if (int(values[i]) ^ int(values[j])).bit_count() <= 3]
+    want = groups(pairs)
+    for links in (simhash._forest(values, mask, wild, 3), simhash._forest_by_lookup(values, simhash._flips(free, 3))):
+        assert groups(links) == want
+        assert len(links) == len(values) - len(want)
+        assert all((int(values[i]) ^ int(values[j])).bit_count() <= 3 for i, j in links)

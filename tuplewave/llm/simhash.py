@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from .common import blank, materialize
 from .components import connected_components
 
 BITS = 64
+#: A search in a sorted group takes the time of about so many comparisons of fingerprints.
+SEARCH_COST = 50
 
 
 def simhash_text(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -97,36 +100,45 @@ def _popcount(x: np.ndarray) -> np.ndarray:
 
 
 def _forest(values: np.ndarray, mask: int, wild: int, distance: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest among ``values`` (distinct, equal on ``mask`` but for ``wild``)."""
-    n = len(values)
-    parent = list(range(n))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+    """Links of a spanning forest among ``values`` (sorted, distinct, equal on ``mask`` but for ``wild``).
 
-    links = []
+    Each value leaves the search once it is reached, so a group whose values are all close to each other costs about
+    one comparison a value and is never expanded into its pairs.
+    """
+    n = len(values)
+    free = np.array([b for b in range(BITS) if not mask >> b & 1 or b == wild])
+    masks = sum(comb(len(free), k) for k in range(distance + 1))
+    if n > SEARCH_COST * masks:
+        return _forest_by_lookup(values, _flips(free, distance))
+    links, rest, left = [], np.arange(n), values
+    while len(rest):
+        queue, rest, left = [int(rest[0])], rest[1:], left[1:]
+        while queue and len(rest):
+            i = queue.pop()
+            near = _popcount(left ^ values[i]) <= distance
+            if near.any():
+                reached = rest[near].tolist()
+                links += [(i, j) for j in reached]
+                queue += reached
+                rest, left = rest[~near], left[~near]
+    return links
 
-    def join(i: int, j: int) -> None:
-        a, b = find(i), find(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            links.append((i, j))
 
-    free = np.array([b for b in range(BITS) if not mask >> b & 1 or b == wild])
-    flips = _flips(free, distance) if n > 64 else None
-    if flips is None or n <= len(flips):
-        for i in range(n - 1):
-            for j in np.flatnonzero(_popcount(values[i + 1 :] ^ values[i]) <= distance):
-                join(i, i + 1 + int(j))
-    else:  # look up each neighbour that the free bits allow
-        for i in range(n):
+def _forest_by_lookup(values: np.ndarray, flips: np.ndarray) -> list[tuple[int, int]]:
+    """The same by searching each neighbour that the free bits allow, whose number does not grow with the group."""
+    n = len(values)
+    links, seen = [], np.zeros(n, bool)
+    for root in range(n):
+        queue = [] if seen[root] else [root]
+        seen[root] = True
+        while queue:
+            i = queue.pop()
             near = values[i] ^ flips
             at = np.minimum(np.searchsorted(values, near), n - 1)
-            for j in at[values[at] == near]:
-                join(i, int(j))
+            reached = at[(values[at] == near) & ~seen[at]]
+            seen[reached] = True
+            links += [(i, j) for j in reached.tolist()]
+            queue += reached.tolist()
     return links
 
 
