@@ -175,6 +175,26 @@ def test_embedding_recall():
     assert bench.search([]) == bench.search([None, ""]) == []
 
 
+def test_edits_at_the_limit_are_found():
+    """All passages with as many edits of characters, spread over the item, as are allowed."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(vocabulary, k=k)) for k in (2, 3, 4, 5, 6, 8, 12, 18, 25, 38, 55)]
+    bench = D.Items(list(range(len(texts))), texts, D.EDITS)
+    docs, wanted = [], set()
+    for i, t in enumerate(texts):
+        letters, most = list(t), bench.most(len(t))
+        for at in sorted(rng.sample(range(1, len(t)), most), reverse=True):
+            letters[at : at + 1] = rng.choice([["z"], [letters[at], "z"], []])
+        around = [" ".join(rng.choices(vocabulary, k=40)) for _ in range(2)]
+        docs.append(f"{around[0]} {''.join(letters)} {around[1]}")
+    for d, doc in enumerate(docs):
+        begins = [0] + [k + 1 for k, c in enumerate(doc) if c == " "]
+        wanted |= {(d, i) for i, t in enumerate(texts) for k in begins if D.edit_distance_prefix(t, doc[k : k + len(t) + bench.most(len(t))], bench.most(len(t)))}
+    assert {(i, i) for i in range(len(texts))} <= wanted
+    assert {f[:2] for f in bench.search(docs)} == wanted
+
+
 def test_kernel():
     k = toxicity.kernel([b"idiot"], [b"idiot", b"idxiot", b"table", b"i"])
     assert abs(k[0, 0] - 1) < 1e-5

@@ -4,11 +4,15 @@ Texts are lower-cased and their words joined by one space. A window has the size
 CGK random walk copies the words of a window to an output three times as long, moving on at each step or not by a
 random function of the step and the word; strings at a small edit distance resynchronise, so their
 outputs are at a small Hamming distance. Each repetition samples positions of one walk; windows and items that
-agree there are candidates, and the exact edit distance (free at the window's end) decides.
+agree there are candidates, and the exact edit distance (free at the window's end) decides. One edit changes a whole
+word, so the walks miss many passages near the limit; windows and items that no repetition proposes are therefore
+candidates as well, unless a bound on their q-grams excludes them. So nothing within the edit limit is lost.
 
 Before that, windows which no item can match are left out by a bound that loses nothing: k edits spoil at most k*q
 of an item's q-grams, so a window with fewer q-grams of the item than that leaves is farther than k away. The q-grams are
-counted for groups of items of similar length; only items of the groups that pass are looked up.
+counted for groups of items of similar length first, then for each item of the groups that pass, where a q-gram
+counts only if it is at most k characters from its place in the item. An item too short for the bound is cut into k + 1
+pieces, one of which k edits leave whole, and looked for by its pieces.
 
 Nulls: null texts and items are empty and match nothing, null ids are carried along. Repeated rows are searched one by
 one, repeated items found once each. Empty tables give empty results. Only ids and texts are read. Ties:
@@ -36,6 +40,8 @@ REPETITIONS, SAMPLED, WALK_WORDS = 12, 5, 16
 #: Items searched at once; more are searched in blocks.
 BLOCK_ITEMS = 5000
 _TABLE_BITS = 22
+#: q-grams with more places in the items are not counted; an item's bound is lowered by as many as it has of them.
+COMMON = 32
 #: Groups of items that the table of q-grams tells apart.
 BITS = 64
 
@@ -159,6 +165,7 @@ class Items:
                 self.grams[_gram_hashes(points)] |= np.uint64(1 << self.group_of[i])
             words[i] = _hashes(self.texts[i].split(" "), known)
             walks[self.walk(len(words[i]))].append(i)
+        self._index(used)
         self.keys, self.lookup = {}, {}
         for walk, own in walks.items():
             keys: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -176,15 +183,80 @@ class Items:
     def most(self, n: int) -> int:
         return int(n * self.edits)
 
-    def candidates(self, points: np.ndarray, begins: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the word starts ``begins`` (in ``points``; texts end at ``doc_ends``) may start a match, and the
+    def _index(self, used: list[int]) -> None:
+        """Places of the q-grams, sorted by hash, each item's least number of them, and pieces of items without one."""
+        none = np.zeros(0, np.int64)
+        hashes, items, places = [none], [none], [none]
+        for i in used:
+            points = np.frombuffer(self.texts[i].encode("utf-32-le"), "<u4")
+            if len(points) >= Q:
+                hashes.append(_gram_hashes(points).astype(np.int64))
+                items.append(np.full(len(hashes[-1]), i))
+                places.append(np.arange(len(hashes[-1])))
+        h, item, place = (np.concatenate(x) for x in (hashes, items, places))
+        _, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
+        rare = n[inverse] <= COMMON
+        left = np.bincount(item[rare], minlength=len(self.texts))
+        self.need = {i: int(left[i]) - Q * self.most(len(self.texts[i])) for i in used}
+        order = np.flatnonzero(rare)[np.argsort(h[rare], kind="stable")]
+        self.index = h[order], item[order], place[order]
+        self.pieces = {}
+        for i in used:
+            if self.need[i] <= 0:
+                n_pieces = self.most(len(self.texts[i])) + 1
+                edges = [len(self.texts[i]) * k // n_pieces for k in range(n_pieces + 1)]
+                self.pieces[i] = [(a, self.texts[i][a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+
+    def bounded(self, text: str, hashes: np.ndarray, begins: np.ndarray, doc_ends: np.ndarray, chosen: np.ndarray, mask: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(word start, item): all pairs that may match, from the word starts and groups that ``candidates`` left."""
+        for i, pieces in self.pieces.items():
+            most = self.most(len(self.texts[i]))
+            starts = set()
+            for place, piece in pieces:
+                at = text.find(piece)
+                while at >= 0:
+                    lo, hi = np.searchsorted(begins, (at - place - most, at - place + most + 1))
+                    starts.update(w for w in range(lo, hi) if doc_ends[w] > at)
+                    at = text.find(piece, at + 1)
+            yield from ((w, i) for w in starts)
+        if not len(hashes) or not len(chosen):
+            return
+        known, of, place = self.index
+        near = np.zeros(len(text) + 1, np.int32)
+        room = max(map(len, self.texts))
+        np.add.at(near, begins[chosen], 1)
+        np.add.at(near, np.minimum(begins[chosen] + 2 * room, len(text)), -1)
+        hit = np.flatnonzero((self.grams[hashes] != 0) & (np.cumsum(near[: len(hashes)]) > 0))
+        lo, hi = (np.searchsorted(known, hashes[hit].astype(np.int64), side) for side in ("left", "right"))
+        n = hi - lo
+        entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        # Where the item would begin if nothing were edited before the q-gram.
+        diagonal = np.repeat(hit, n) - place[entry] + room
+        key = of[entry] << 40 | diagonal
+        order = np.argsort(key)
+        key, placed = key[order], place[entry][order]
+        hits = np.bincount(of[entry], minlength=len(self.texts))
+        for i in np.flatnonzero(hits).tolist():
+            if not 0 < self.need[i] <= hits[i]:
+                continue
+            own = chosen[mask >> np.uint64(self.group_of[i]) & np.uint64(1) > 0]
+            most, at = self.most(len(self.texts[i])), begins[own] + room
+            lo = np.searchsorted(key, (i << 40) + np.maximum(at - most, 0))
+            hi = np.searchsorted(key, (i << 40) + at + most + 1)
+            # A text that repeats itself has a q-gram of the item many times; each counts once.
+            for k in np.flatnonzero(hi - lo >= self.need[i]).tolist():
+                if len(set(placed[lo[k] : hi[k]].tolist())) >= self.need[i]:
+                    yield int(own[k]), i
+
+    def candidates(self, hashes: np.ndarray, begins: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the word starts ``begins`` (in the text of which ``hashes`` has the q-grams; texts end at ``doc_ends``) may start a match, and the
         groups of items, as bits, that each of them may match."""
         mask = np.zeros(len(begins), np.uint64)
         for groups, (_, _, need) in zip(self.groups, self.classes, strict=True):
             if need <= 0:
                 mask |= np.uint64(sum(1 << g for g in set(groups)))
-        if len(points) >= Q:
-            marks = self.grams[_gram_hashes(points)]
+        if len(hashes):
+            marks = self.grams[hashes]
             hit = np.concatenate(([0], np.cumsum(marks != 0, dtype=np.int32)))
             marks = marks[marks != 0]
             begin = np.minimum(begins, len(hit) - 1)
@@ -210,7 +282,8 @@ class Items:
         flat = [w for d in docs for w in d]
         if not flat or not self.classes:
             return []
-        points = np.frombuffer("\n".join(joined).encode("utf-32-le"), "<u4")
+        text = "\n".join(joined)
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
         counts = np.fromiter(map(len, docs), np.int64, len(docs))
         sizes = np.fromiter(map(len, joined), np.int64, len(docs))
         doc_at = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
@@ -219,7 +292,9 @@ class Items:
         of = np.repeat(np.arange(len(docs)), counts)
         run = np.cumsum(word_sizes + 1) - word_sizes - 1
         begins = run - np.repeat(run[np.minimum(first, len(flat) - 1)], counts) + np.repeat(doc_at, counts)
-        chosen, mask = self.candidates(points, begins, np.repeat(doc_at + sizes, counts))
+        doc_ends = np.repeat(doc_at + sizes, counts)
+        hashes = _gram_hashes(points) if len(points) >= Q else np.zeros(0, np.uint64)
+        chosen, mask = self.candidates(hashes, begins, doc_ends)
         if not len(chosen):
             return []
         used = np.unique(of[chosen])
@@ -235,6 +310,7 @@ class Items:
                 for w in np.flatnonzero(self.lookup[walk][at] == got).tolist():
                     allowed = int(mask[w])
                     pairs.update((int(chosen[w]), i) for rep, i in self.keys[walk][int(got[w])] if rep == r and allowed >> self.group_of[i] & 1)
+        pairs.update(self.bounded(text, hashes, begins, doc_ends, chosen, mask))
         found = defaultdict(list)
         for word, i in pairs:
             d, item = int(of[word]), self.texts[i]
