@@ -195,6 +195,21 @@ def test_edits_at_the_limit_are_found():
     assert {f[:2] for f in bench.search(docs)} == wanted
 
 
+def test_exact_copies_of_short_items():
+    """Inside longer texts, for items of all sizes from one word on; the walks alone propose each of them."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(vocabulary, k=k)) for k in range(1, 26)]
+    bench = D.Items(list(range(25)), texts, D.EDITS)
+    docs = [" ".join([*rng.choices(vocabulary, k=30), t, *rng.choices(vocabulary, k=30)]) for t in texts]
+    found = {f[:2]: f[2:] for f in bench.search(docs)}
+    assert all(found[i, i] == (30, i + 1, 0) for i in range(25))
+    words, starts = D._laid_out([D._hashes(d.split(" "), {}) for d in docs], D.room(bench.walks.tolist()))
+    assert bench.proposed(words, starts + 30, np.arange(25)).all()
+    twice = "ab cd ab cd"
+    assert [f[2:] for f in D.Items([0], [twice], D.EDITS).search([f"x {twice} ab cd ab cx y"])] == [(1, 4, 0), (5, 4, 1)]
+
+
 def test_kernel():
     k = toxicity.kernel([b"idiot"], [b"idiot", b"idxiot", b"table", b"i"])
     assert abs(k[0, 0] - 1) < 1e-5

@@ -1,14 +1,14 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
 Texts are lower-cased and their words joined by one space. A window has the size of an item and starts at a word. The
-CGK random walk copies the words of a window to an output three times as long, moving on at each step or not by a
-random function of the step and the word; strings at a small edit distance resynchronise, so their
-outputs are at a small Hamming distance. Each repetition samples positions of one walk; windows and items that
-agree there are candidates, and the exact edit distance (free at the window's end) decides. One edit changes a whole
-word, so the walks miss many passages near the limit; windows and items that no repetition proposes are therefore
-candidates as well, unless a bound on their q-grams excludes them. So nothing within the edit limit is lost.
-
-Before that, windows which no item can match are left out by a bound that loses nothing: k edits spoil at most k*q
+CGK random walk copies the words of a window, cut at the item's number of words, to an output three times as long, moving
+on at each step or not by a random function of the step and the word; strings at a small edit distance resynchronise, so
+their outputs are at a small Hamming distance. Each repetition samples positions of one walk; windows and items that agree
+there, as exact copies always do, are compared first by the exact edit distance (free at the window's end). One edit
+changes a whole word, so the walks miss many passages near the limit. All other pairs that the bound below leaves are
+therefore compared as well, but for windows that begin within an exact passage, so nothing within the limit is lost.
+
+Windows which no item can match are left out before by a bound that loses nothing: k edits spoil at most k*q
 of an item's q-grams, so a window with fewer q-grams of the item than that leaves is farther than k away. The q-grams are
 counted for groups of items of similar length first, then for each item of the groups that pass, where a q-gram
 counts only if it is at most k characters from its place in the item. An item too short for the bound is cut into k + 1
@@ -101,21 +101,18 @@ def _gram_hashes(points: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - _TABLE_BITS)
 
 
-def embed(words: np.ndarray, starts: np.ndarray, repetition: int, walks: Iterable[int]) -> dict[int, np.ndarray]:
-    """Keys of one repetition by walk: the walked words at its sampled positions. Walks of all lengths take the same
-    steps, so they are walked once. Each text in ``words`` must be followed by ``room`` zeros."""
-    at = starts.copy()
-    key, chosen = {}, {}
-    for walk in walks:
-        key[walk] = np.full(len(starts), repetition, np.uint64)
-        chosen[walk] = set(np.random.default_rng(repetition).choice(3 * walk, SAMPLED, replace=False).tolist())
-    last = max(max(c) for c in chosen.values())
+def embed(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, repetition: int, walk: int) -> np.ndarray:
+    """Keys of one repetition: the walked words at its sampled positions. A text ends after its size of words, then zeros
+    follow; each text in ``words`` must be followed by ``room`` zeros."""
+    at, ends = starts.copy(), starts + sizes
+    key = np.full(len(starts), repetition, np.uint64)
+    chosen = set(np.random.default_rng(repetition).choice(3 * walk, min(SAMPLED, 3 * walk), replace=False).tolist())
+    last = max(chosen)
     random = splitmix(np.arange(1, last + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(repetition << 32))
     for j in range(last + 1):
-        word = words[at]
-        for walk in key:
-            if j in chosen[walk]:
-                key[walk] = splitmix(key[walk] * np.uint64(0x100000001B3) ^ word)
+        word = np.where(at < ends, words[at], np.uint64(0))
+        if j in chosen:
+            key = splitmix(key * np.uint64(0x100000001B3) ^ word)
         word *= random[j] | np.uint64(1)
         word += random[j]
         word >>= np.uint64(63)
@@ -137,7 +134,7 @@ class Items:
     edits: float
     grams: np.ndarray = field(init=False)
     classes: list[tuple[int, int, int]] = field(init=False)
-    keys: dict[int, dict[int, list[tuple[int, int]]]] = field(init=False)
+    keys: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         used = [i for i, text in enumerate(self.texts) if text]
@@ -166,15 +163,14 @@ class Items:
             words[i] = _hashes(self.texts[i].split(" "), known)
             walks[self.walk(len(words[i]))].append(i)
         self._index(used)
-        self.keys, self.lookup = {}, {}
+        self.sizes = np.zeros(len(self.texts), np.int64)
+        self.walks = np.zeros(len(self.texts), np.int64)
+        self.keys = np.zeros((REPETITIONS, len(self.texts)), np.uint64)
         for walk, own in walks.items():
-            keys: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            self.walks[own], self.sizes[own] = walk, [len(words[i]) for i in own]
             flat, starts = _laid_out([words[i] for i in own], room([walk]))
             for r in range(REPETITIONS):
-                for i, key in zip(own, embed(flat, starts, r, [walk])[walk].tolist(), strict=True):
-                    keys[key].append((r, i))
-            self.keys[walk] = dict(keys)
-            self.lookup[walk] = np.sort(np.fromiter(keys, np.uint64, len(keys)))
+                self.keys[r, own] = embed(flat, starts, self.sizes[own], r, walk)
 
     @staticmethod
     def walk(n_words: int) -> int:
@@ -275,6 +271,36 @@ class Items:
         chosen = np.flatnonzero(mask)
         return chosen, mask[chosen]
 
+    def proposed(self, words: np.ndarray, starts: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Whether a window, cut at the item's number of words, and the item agree in a repetition; exact copies do in all."""
+        out = np.zeros(len(starts), bool)
+        for walk in np.unique(self.walks[items]).tolist():
+            own = np.flatnonzero(self.walks[items] == walk)
+            for r in range(REPETITIONS):
+                out[own] |= embed(words, starts[own], self.sizes[items[own]], r, walk) == self.keys[r, items[own]]
+        return out
+
+    def passages(self, i: int, text: str, now: list[int], later: list[int]) -> list[tuple[int, int, int]]:
+        """(distance, begin, end) of one item's passages in one text. Windows that begin within an exact passage can only
+        overlap it, so the later ones of them need no distance; an exact passage that another one ousts spares none."""
+        item, most = self.texts[i], self.most(len(self.texts[i]))
+        hits: list[tuple[int, int, int]] = []
+        taken: list[tuple[int, int, int]] = []
+        while True:
+            for at in now:
+                near = edit_distance_prefix(item, text[at : at + len(item) + most], most)
+                if near:
+                    hits.append((near[0], at, at + near[1]))
+            taken = []
+            for distance, a, b in sorted(hits):
+                if all(b <= x or a >= y for _, x, y in taken):
+                    taken.append((distance, a, b))
+            exact = [(x, y) for distance, x, y in taken if not distance]
+            now = [at for at in later if not any(x <= at < y for x, y in exact)]
+            later = [at for at in later if any(x <= at < y for x, y in exact)]
+            if not now:
+                return taken
+
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, words, distance) for the texts of one slice."""
         docs = [normal(t) for t in texts]
@@ -297,36 +323,23 @@ class Items:
         chosen, mask = self.candidates(hashes, begins, doc_ends)
         if not len(chosen):
             return []
-        used = np.unique(of[chosen])
+        pairs = list(self.bounded(text, hashes, begins, doc_ends, chosen, mask))
+        if not pairs:
+            return []
+        windows, items = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        used = np.unique(of[windows])
         known: dict[str, int] = {}
-        words, laid = _laid_out([_hashes(docs[d], known) for d in used], room(self.keys))
+        words, laid = _laid_out([_hashes(docs[d], known) for d in used], room(self.walks.tolist()))
         base = np.zeros(len(docs), np.int64)
         base[used] = laid
-        starts = base[of[chosen]] + chosen - first[of[chosen]]
-        pairs: set[tuple[int, int]] = set()
-        for r in range(REPETITIONS):
-            for walk, got in embed(words, starts, r, self.keys).items():
-                at = np.minimum(np.searchsorted(self.lookup[walk], got), len(self.lookup[walk]) - 1)
-                for w in np.flatnonzero(self.lookup[walk][at] == got).tolist():
-                    allowed = int(mask[w])
-                    pairs.update((int(chosen[w]), i) for rep, i in self.keys[walk][int(got[w])] if rep == r and allowed >> self.group_of[i] & 1)
-        pairs.update(self.bounded(text, hashes, begins, doc_ends, chosen, mask))
-        found = defaultdict(list)
-        for word, i in pairs:
-            d, item = int(of[word]), self.texts[i]
-            at = int(begins[word] - doc_at[d])
-            most = self.most(len(item))
-            near = edit_distance_prefix(item, joined[d][at : at + len(item) + most], most)
-            if near:
-                found[d, i].append((near[0], at, at + near[1]))
+        proposed = self.proposed(words, base[of[windows]] + windows - first[of[windows]], items)
+        todo: dict[tuple[int, int], tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
+        for d, i, at, now in zip(of[windows].tolist(), items.tolist(), (begins[windows] - doc_at[of[windows]]).tolist(), proposed.tolist(), strict=True):
+            todo[d, i][not now].append(at)
         out = []
-        for (d, i), hits in found.items():
-            taken: list[tuple[int, int]] = []
-            for distance, a, b in sorted(hits):
-                if all(b <= x or a >= y for x, y in taken):
-                    taken.append((a, b))
-                    before = joined[d].count(" ", 0, a)
-                    out.append((d, i, before, joined[d].count(" ", a, b) + 1, distance))
+        for (d, i), (now, later) in todo.items():
+            for distance, a, b in self.passages(i, joined[d], now, later):
+                out.append((d, i, joined[d].count(" ", 0, a), joined[d].count(" ", a, b) + 1, distance))
         return out
 
 
