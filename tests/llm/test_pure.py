@@ -53,6 +53,22 @@ def test_cover():
     assert w.counts.tolist() == [3, 1]
 
 
+def thue_morse(n, letters="ab"):
+    """A word and its complement, whose polynomial hashes modulo 2**64 are equal from 1024 letters on."""
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
+def test_word_hashes():
+    one, other = thue_morse(1024), thue_morse(1024, "ba")
+    words = [one, other, "a", "aa", "b", "\0", "\0\0", "x" * 8, "x" * 9, "x" * 17, "é", "y" * 100_000]
+    data = " ".join(words).encode()
+    w = Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert len(set(w.hashes.tolist())) == len(set(w.others.tolist())) == len(words) == len(w.begins)
+    assert not set(w.hashes.tolist()) & set(w.others.tolist())
+    empty = Words(np.zeros(0, np.uint8), np.array([0]))
+    assert len(empty.hashes) == len(empty.others) == 0
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=60))
 def test_best_fit(lengths):

@@ -91,6 +91,15 @@ def test_substring_dedup(docs):
         assert words_of(plain[r["doc_id"]]) == kept
 
 
+def test_long_words_that_polynomials_confuse(spark):
+    """49 equal words and a 50th of 1024 letters that differ: no window repeats."""
+    start = " ".join(f"w{i}" for i in range(49))
+    last = ["".join(letters[i.bit_count() & 1] for i in range(1024)) for letters in ("ab", "ba")]
+    df = spark.createDataFrame([(1, f"{start} {last[0]}"), (2, f"{start} {last[1]}"), (3, f"{start} {last[0]}")], "doc_id long, text string")
+    found, x = substring_dedup(df)
+    assert sorted((r["doc_id"], r[x]["n_removed"]) for r in found.collect()) == [(1, 0), (2, 0), (3, 50)]
+
+
 def test_repeated_ids(spark):
     rows = [(1, BASE), (1, BASE), (None, BASE), (2, BASE)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -28,9 +28,11 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; only a session without one (tests) gets a folder of this machine."""
+    """The shared folder of the session; only a session on this machine alone gets a folder of its own if it has none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "tuplewave-scratch")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -47,6 +49,14 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
+def ready(df: DataFrame) -> SparkSession:
+    """The session of ``df``, whose executors have this package; each operator begins with it."""
+    spark = df.sparkSession
+    ship(spark)
+    bound_batches(spark)
+    return spark
+
+
 @contextlib.contextmanager
 def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
     """Inside, the shuffle files of a finished write are dropped at once instead of at the driver's next collection."""
@@ -60,9 +70,7 @@ def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends at a table that outlives executors."""
-    spark = df.sparkSession
-    ship(spark)
-    bound_batches(spark)
+    spark = ready(df)
     path = scratch_path(spark, name)
     with shuffle_cleanup(spark):
         df.write.parquet(path)

@@ -4,7 +4,11 @@ The positions 0, 1, 2, ... of a text are taken modulo a period; at those in a di
 are hashed. For any two offsets there is a shift below the period that moves both onto the cover, so two equal
 windows always have an equal anchor at the same place inside them. Anchors are counted by hash with the least
 document; only shared ones are extended. If all occurrences of an anchor have the same surroundings, all its windows are
-decided at once; otherwise its windows are compared by two 64-bit hashes each.
+decided at once; otherwise its windows are compared.
+
+Words have two hashes that are mixed byte by byte on their own (eight bytes a step, each step a bijection of those
+bytes, so words of up to eight bytes and equal length never collide). Anchors are made of the first ones, surroundings
+of the second, and windows are compared by a hash of each: every decision rests on 128 independent bits.
 
 Nulls: a null text has no words; a null id is neither before nor after any other. Repeated ids are equal, so
 their rows do not remove from each other. Texts shorter than a window lose nothing. Empty tables give empty results.
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, splitmix, text_slices
+from .common import drop_table, materialize, ready, splitmix, text_slices
 from .keys import free_name, keyed, with_field
 
 WINDOW = 50
@@ -29,8 +33,8 @@ ANCHOR = WINDOW - PERIOD + 1
 #: Words of a text around an anchor at 0 that its windows can have: [-BEFORE, AFTER).
 BEFORE, AFTER = PERIOD - 1, WINDOW
 
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
-_BYTES = splitmix(np.arange(1, 257, dtype=np.uint64) * _MIX[0])
+#: Odd, and 5 modulo 8, so that powers repeat as late as they can modulo 2**64.
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4D, 0xD6E8FEB86659FD95)]
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -55,7 +59,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_POWERS = [_Powers(x) for x in _MIX]
+_POWERS = [_Powers(x) for x in _MIX[1:]]
 
 
 class Prefixes:
@@ -70,8 +74,26 @@ class Prefixes:
         return splitmix(h ^ ((b - a).astype(np.uint64) * _MIX[1]))
 
 
+def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each range of bytes. Very long words only cost steps of their own."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = (ends - begins).astype(np.uint64)
+    one, two = size * _MIX[0], splitmix(size ^ _MIX[2])
+    live, at = np.arange(len(begins)), begins
+    while len(live):
+        room = np.minimum(ends[live] - at, 8)
+        part = eight[at] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * room.astype(np.uint64)))
+        one[live] = splitmix((one[live] ^ part) * _MIX[0])
+        mixed = (two[live] + part) * _MIX[2]
+        two[live] = splitmix((mixed ^ (mixed >> np.uint64(32))) * _MIX[1])
+        more = np.flatnonzero(ends[live] - at > 8)
+        live, at = live[more], at[more] + 8
+    return one, two
+
+
 class Words:
-    """The words of a slice of texts: where they are, their hashes, and each text's range of words."""
+    """The words of a slice of texts: where they are, their two hashes, and each text's range of words."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         word = ~_BLANK[data]
@@ -83,7 +105,7 @@ class Words:
         self.ends = np.flatnonzero(word & (~after | edge[1:])) + 1
         self.first = np.searchsorted(self.begins, offsets)
         self.counts = np.diff(self.first)
-        self.hashes = Prefixes(_BYTES[data], 0).ranges(self.begins, self.ends) if len(data) else np.zeros(0, np.uint64)
+        self.hashes, self.others = word_hashes(data, self.begins, self.ends)
 
 
 def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -96,10 +118,9 @@ def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     on[list(COVER)] = True
     chosen = np.flatnonzero(on[at % PERIOD] & (size >= WINDOW) & (at + ANCHOR <= size)) if n else np.zeros(0, np.int64)
     text, at, size = text[chosen], at[chosen], size[chosen]
-    sums = Prefixes(words.hashes, 1)
-    anchor = sums.ranges(chosen, chosen + ANCHOR)
+    anchor = Prefixes(words.hashes, 0).ranges(chosen, chosen + ANCHOR)
     left, right = np.minimum(at, BEFORE), np.minimum(size - at, AFTER)
-    around = sums.ranges(chosen - left, chosen + right)
+    around = Prefixes(words.others, 1).ranges(chosen - left, chosen + right)
     around = splitmix(around ^ (left * 128 + right).astype(np.uint64) * _MIX[2])
     return text, at, anchor, around
 
@@ -126,7 +147,7 @@ def _window_rows(found: DataFrame, kinds: str, extra: int) -> DataFrame:
             todo = batch.column(extra + 1)
             for row, offsets, data in text_slices(batch, "text", 1 << 20):
                 words = Words(data, offsets)
-                one, two = Prefixes(words.hashes, 1), Prefixes(splitmix(words.hashes ^ _MIX[2]), 2)
+                one, two = Prefixes(words.hashes, 0), Prefixes(words.others, 1)
                 starts, texts = [], []
                 for t in range(len(offsets) - 1):
                     last = words.counts[t] - WINDOW
@@ -149,8 +170,9 @@ def _window_rows(found: DataFrame, kinds: str, extra: int) -> DataFrame:
 def repeated_words(docs: DataFrame, key: str, order: str, text_col: str = "text") -> DataFrame:
     """``key``, ``spans``: ranges [a, b) of words to remove (may overlap) for each text that has any.
 
-    Anchors and windows are aggregated to their least document before and after the shuffle, and joined back, so
-    one that very many documents share is never gathered.
+    Anchors and windows are aggregated to their least document before and after the shuffle, so one that very many
+    documents share is never gathered. What is found is written and joined back from there: both sides of such a join
+    are plain exchanges, whose large partitions Spark splits while it copies the one row of the other side.
     """
     kind, order_kind = (docs.schema[c].dataType.simpleString() for c in (key, order))
     same = key == order
@@ -170,6 +192,7 @@ def repeated_words(docs: DataFrame, key: str, order: str, text_col: str = "text"
     texts = rows.join(todo, "key").select(*names, "text", "open")
     windows = materialize(_window_rows(texts, kinds, extra), "anchors-windows")
     first = windows.groupBy("x", "y").agg(F.min(o).alias("least"), F.max(o).alias("most")).where("least < most").select("x", "y", "least")
+    first = materialize(first, "windows-first")
     later = windows.join(first, ["x", "y"]).where(F.col(o) > F.col("least"))
     spans = later.select("key", F.col("at").cast("long").alias("a"), (F.col("at") + WINDOW).cast("long").alias("b"))
     whole = hits.where("not many").select("key", F.greatest(F.col("at") - BEFORE, F.lit(0)).cast("long").alias("a"), (F.col("at") + AFTER).cast("long").alias("b"))
@@ -182,6 +205,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``spans`` are ranges [a, b) of removed words. ``kept_text`` is the text without the removed words and the white
     space after each, or with ``joined`` the kept words joined by one space.
     """
+    ready(docs)
     rows, key = keyed(docs, id_col)
     spans = repeated_words(rows, key, id_col, text_col)
     x, made = free_name(rows.columns, "spans"), free_name(docs.columns, "substring_dedup")
