@@ -16,7 +16,7 @@ from tuplewave.llm import packing, simhash, toxicity, warc
 from tuplewave.llm.quality_lm import _own_codes, grams
 from tuplewave.llm.run_index import RunIndex
 from tuplewave.llm.substring_dedup import ANCHOR, COVER, PERIOD, WINDOW, Words, is_cover
-from tuplewave.llm.suffix_dedup import pieces
+from tuplewave.llm.suffix_dedup import gram_sizes, pieces
 
 
 @settings(max_examples=60, deadline=None)
@@ -27,17 +27,21 @@ def test_run_index(texts, length):
     for d in data:
         for i in range(len(d) - length + 1):
             counts[d[i : i + length]] = counts.get(d[i : i + length], 0) + 1
-    got = RunIndex(data).repeated(length)
+    index = RunIndex(data)
+    got = index.repeated(length)
+    assert index.strings() == data  # the runs alone hold the texts
+    assert all(len(x) == index.runs for x in (index.symbols, index.heads, index.tails, index.bounds))
     for d, ranges in zip(data, got, strict=True):
         wanted = [i for i in range(len(d) - length + 1) if counts[d[i : i + length]] > 1]
         assert [i for a, b in ranges for i in range(a, b)] == wanted
 
 
-def test_pieces_cover_each_string_once():
+@pytest.mark.parametrize("gram", gram_sizes(200))
+def test_pieces_cover_each_string_once(gram):
     rng = np.random.default_rng(3)
     texts = [bytes(rng.integers(97, 101, n).astype(np.uint8)) for n in (0, 199, 200, 500, 3000)] + [b"a" * 700]
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    text, start, n, hashes = pieces(np.frombuffer(b"".join(texts), np.uint8), offsets, 200)
+    text, start, n, hashes = pieces(np.frombuffer(b"".join(texts), np.uint8), offsets, 200, gram)
     seen = sorted((int(t), int(s - offsets[t]) + k) for t, s, m in zip(text, start, n, strict=True) for k in range(m))
     assert seen == [(t, i) for t, x in enumerate(texts) for i in range(len(x) - 199)]
     by_string = {}

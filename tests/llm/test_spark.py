@@ -61,13 +61,13 @@ def test_quality_rules(docs):
     assert got[4]["kept"] and not got[12]["kept"]
 
 
-@pytest.mark.parametrize("hot", [4000, 1])
-def test_suffix_dedup(docs, hot):
-    length = 80
-    data = {i: (t or "").encode() for i, t, *_ in ROWS}
+def check_suffix_dedup(df, rows, length, **options):
+    data = {i: (t or "").encode() for i, t in rows}
     counts = Counter(d[k : k + length] for d in data.values() for k in range(len(d) - length + 1))
-    found, x = suffix_dedup.suffix_dedup(docs, length=length, hot=hot, shard_bytes=4000)
-    for r in found.select("doc_id", x).collect():
+    found, x = suffix_dedup.suffix_dedup(df, length=length, **options)
+    got = found.select("doc_id", x).collect()
+    assert len(got) == len(rows)
+    for r in got:
         d, s = data[r["doc_id"]], r[x]
         cut = {k + j for k in range(len(d) - length + 1) if counts[d[k : k + length]] > 1 for j in range(length)}
         kept = bytes(b for k, b in enumerate(d) if k not in cut)
@@ -75,6 +75,21 @@ def test_suffix_dedup(docs, hot):
         assert {k for q in s["spans"] for k in range(q["a"], q["b"])} == cut
 
 
+@pytest.mark.parametrize("crowded", [1 << 18, 1])
+def test_suffix_dedup(docs, crowded):
+    check_suffix_dedup(docs, [r[:2] for r in ROWS], 80, shard_bytes=4000, crowded_bytes=crowded)
+
+
+def test_suffix_dedup_crowded_minimizer(spark):
+    """One passage of 70 bytes in 4500 different surroundings, some of which repeat: its minimizer is divided."""
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    passage = letters(70)
+    rows = [(i, letters(30) + passage + letters(30)) for i in range(4500)]
+    rows += [(5000 + i, rows[i][1][15 + i :]) for i in range(12)] + [(6000, rows[3][1]), (6001, None)]
+    check_suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows, 80, crowded_bytes=20_000)
+
+
 def test_substring_dedup(docs):
     words = {i: words_of(t) for i, t, *_ in ROWS}
     first = {}
