@@ -177,57 +177,72 @@ def test_edit_distance():
         assert got is not None and got[0] == wanted
 
 
-def test_embedding_recall():
-    rng = random.Random(5)
-    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(3000)]
-    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(20, 60))) for _ in range(60)]
-    bench = D.Items(list(range(60)), texts, D.EDITS)
-    hits = 0
-    for i, t in enumerate(texts):
-        words = t.split()
-        for k in rng.sample(range(len(words)), 2):
-            words[k] = words[k][:-1] + "z"
-        around = [" ".join(rng.choices(vocabulary, k=40)) for _ in range(2)]
-        found = bench.search([None, f"{around[0]} {' '.join(words)} {around[1]}", around[0]])
-        hits += any(f[:2] == (1, i) for f in found)
-        assert all(f[:2] == (1, i) for f in found)
-    assert hits >= 54
+def bench_of(texts):
+    return D.Items(list(range(len(texts))), texts, D.EDITS, D.repetitions_for(texts))
+
+
+def invented(seed, sizes, low=2):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(low, 9))) for _ in range(3000)]
+    prose = lambda k: " ".join(rng.choices(vocabulary, k=k))
+    return prose, [prose(k) for k in sizes]
+
+
+@pytest.mark.parametrize("share", [0.01, 0.03, 0.05, 0.08, 0.1])
+def test_recall_of_edited_passages(share):
+    """Edits of letters spread over the item; what is to be found comes from brute-force edit distances of all windows."""
+    rng = np.random.default_rng(int(1000 * share))
+    prose, texts = invented(5, [int(k) for k in rng.integers(8, 60, 80)])
+    bench = bench_of(texts)
+    assert 8 <= bench.repetitions <= D.MOST
+    docs = [f"{prose(40)} {D.edited(t, int(len(t) * share), rng)} {prose(40)}" for t in texts]
+    wanted = set()
+    for d, doc in enumerate(docs):
+        t, most = texts[d], bench.most(len(texts[d]))
+        begins = [0] + [k + 1 for k, c in enumerate(doc) if c == " "]
+        if any(D.edit_distance_prefix(t, doc[k : k + len(t) + most], most) for k in begins):
+            wanted.add((d, d))
+    found = {f[:2] for f in bench.search([None, *docs])}
+    assert all(d - 1 == i for d, i in found)
+    assert len(wanted) >= 70
+    assert len({(d - 1, i) for d, i in found} & wanted) >= 0.95 * len(wanted)
     assert bench.search([]) == bench.search([None, ""]) == []
 
 
-def test_edits_at_the_limit_are_found():
-    """All passages with as many edits of characters, spread over the item, as are allowed."""
-    rng = random.Random(8)
-    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(3000)]
-    texts = [" ".join(rng.choices(vocabulary, k=k)) for k in (2, 3, 4, 5, 6, 8, 12, 18, 25, 38, 55)]
-    bench = D.Items(list(range(len(texts))), texts, D.EDITS)
-    docs, wanted = [], set()
-    for i, t in enumerate(texts):
-        letters, most = list(t), bench.most(len(t))
-        for at in sorted(rng.sample(range(1, len(t)), most), reverse=True):
-            letters[at : at + 1] = rng.choice([["z"], [letters[at], "z"], []])
-        around = [" ".join(rng.choices(vocabulary, k=40)) for _ in range(2)]
-        docs.append(f"{around[0]} {''.join(letters)} {around[1]}")
-    for d, doc in enumerate(docs):
-        begins = [0] + [k + 1 for k, c in enumerate(doc) if c == " "]
-        wanted |= {(d, i) for i, t in enumerate(texts) for k in begins if D.edit_distance_prefix(t, doc[k : k + len(t) + bench.most(len(t))], bench.most(len(t)))}
-    assert {(i, i) for i in range(len(texts))} <= wanted
-    assert {f[:2] for f in bench.search(docs)} == wanted
+def test_repetitions_come_from_the_wanted_recall():
+    _, texts = invented(6, range(20, 60))
+    few, many = D.repetitions_for(texts, recall=0.3), D.repetitions_for(texts, recall=0.98)
+    assert few < many
+    assert D.repetitions_for([]) == D.repetitions_for(["ab"]) == D.FIRST
+
+
+def test_short_items_at_the_limit():
+    """Items below the bound are looked for by their pieces; ties, very long and repeated texts are searched like others."""
+    prose, texts = invented(8, (2, 3, 4, 5, 6))
+    bench = bench_of(texts)
+    rng = np.random.default_rng(1)
+    docs = [f"{prose(40)} {D.edited(t, bench.most(len(t)), rng)} {prose(40)}" for t in texts]
+    found = {f[:2] for f in bench.search([*docs, *docs])}
+    assert len({(i, i) for i in range(5)} & found) >= 4
+    assert {(d + 5, i) for d, i in found if d < 5} == {f for f in found if f[0] >= 5}
+    long = " ".join([prose(30_000), texts[4], prose(30_000)])
+    assert (0, 4, 30_000, 6, 0) in bench.search([long])
+    very = prose(3000)
+    assert bench_of([very]).search([f"{prose(5)} {very} {prose(5)}"]) == [(0, 0, 5, 3000, 0)]
 
 
 def test_exact_copies_of_short_items():
-    """Inside longer texts, for items of all sizes from one word on; the walks alone propose each of them."""
-    rng = random.Random(9)
-    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(3000)]
-    texts = [" ".join(rng.choices(vocabulary, k=k)) for k in range(1, 26)]
-    bench = D.Items(list(range(25)), texts, D.EDITS)
-    docs = [" ".join([*rng.choices(vocabulary, k=30), t, *rng.choices(vocabulary, k=30)]) for t in texts]
+    """Inside longer texts, for items of all sizes from one word on; each repetition proposes each of them."""
+    prose, texts = invented(9, range(1, 26), 3)
+    bench = bench_of(texts)
+    docs = [f"{prose(30)} {t} {prose(30)}" for t in texts]
     found = {f[:2]: f[2:] for f in bench.search(docs)}
     assert all(found[i, i] == (30, i + 1, 0) for i in range(25))
-    words, starts = D._laid_out([D._hashes(d.split(" "), {}) for d in docs], D.room(bench.walks.tolist()))
-    assert bench.proposed(words, starts + 30, np.arange(25)).all()
+    windows = [d[d.index(t) :][: len(t)] for d, t in zip(docs, texts, strict=True)]
+    for r in range(20):
+        assert D.agree(texts, windows, range(r, r + 1)).all()
     twice = "ab cd ab cd"
-    assert [f[2:] for f in D.Items([0], [twice], D.EDITS).search([f"x {twice} ab cd ab cx y"])] == [(1, 4, 0), (5, 4, 1)]
+    assert bench_of([twice]).search([f"x {twice} {twice} y"]) == [(0, 0, 1, 4, 0), (0, 0, 5, 4, 0)]
 
 
 def test_kernel():

@@ -1,14 +1,15 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
-Texts are lower-cased and their words joined by one space. A window has the size of an item and starts at a word. The
-CGK random walk copies the words of a window, cut at the item's number of words, to an output three times as long, moving
-on at each step or not by a random function of the step and the word; strings at a small edit distance resynchronise, so
-their outputs are at a small Hamming distance. Each repetition samples positions of one walk; windows and items that agree
-there, as exact copies always do, are compared first by the exact edit distance (free at the window's end). One edit
-changes a whole word, so the walks miss many passages near the limit. All other pairs that the bound below leaves are
-therefore compared as well, but for windows that begin within an exact passage, so nothing within the limit is lost.
-
-Windows which no item can match are left out before by a bound that loses nothing: k edits spoil at most k*q
+Texts are lower-cased and their words joined by one space. A window begins at a word and has as many characters as the
+item. The CGK random walk copies the characters of the whole window, and of the item, to an output twice as long, moving on
+at each step or not by a random function of the step and the character; strings at a small edit distance resynchronise, so
+their outputs are at a small Hamming distance. Each repetition has a walk of its own and samples positions over its whole
+length; a window and an item are a candidate pair if all samples of one repetition agree, as those of exact copies always
+do. The number of repetitions is found by experiment: items are edited as much as ``EDITS`` allows, and repetitions are
+doubled until a share of ``RECALL`` of them is found. Candidates are verified by exact edit distance, free at the
+window's end.
+
+Pairs that cannot match are left out before the walk by a bound that loses nothing: k edits spoil at most k*q
 of an item's q-grams, so a window with fewer q-grams of the item than that leaves is farther than k away. The q-grams are
 counted for groups of items of similar length first, then for each item of the groups that pass, where a q-gram
 counts only if it is at most k characters from its place in the item. An item too short for the bound is cut into k + 1
@@ -16,29 +17,33 @@ pieces, one of which k edits leave whole, and looked for by its pieces.
 
 Nulls: null texts and items are empty and match nothing, null ids are carried along. Repeated rows are searched one by
 one, repeated items found once each. Empty tables give empty results. Only ids and texts are read. Ties:
-of overlapping windows for one item the closest, then first, is reported.
+of overlapping candidates for one item the closest, then first, is reported.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank, splitmix
+from .common import blank, ready, splitmix
 
 Q = 8
 #: Share of an item's characters that may be edited.
 EDITS = 0.1
-REPETITIONS, SAMPLED, WALK_WORDS = 12, 5, 16
-#: Items searched at once; more are searched in blocks.
-BLOCK_ITEMS = 5000
+#: Sampled positions of a walk; repetitions of the first round; the most that the experiment may ask for.
+SAMPLED, FIRST, MOST = 4, 8, 512
+#: Share of passages at the limit of edits that the repetitions must find in the experiment.
+RECALL = 0.98
+#: Items and characters of items searched at once; more are searched in blocks.
+BLOCK_ITEMS, BLOCK_CHARS = 5000, 4 << 20
+#: Pairs that are walked together.
+PAIRS = 256
 _TABLE_BITS = 22
 #: q-grams with more places in the items are not counted; an item's bound is lowered by as many as it has of them.
 COMMON = 32
@@ -76,23 +81,6 @@ def edit_distance_prefix(pattern: str, text: str, most: int) -> tuple[int, int]
     return best if best[0] <= most else None
 
 
-def _hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
-    for w in words:
-        if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter((known[w] for w in words), np.uint64, len(words))
-
-
-def _laid_out(texts: list[np.ndarray], gap: int) -> tuple[np.ndarray, np.ndarray]:
-    """The texts one after the other, each followed by ``gap`` zeros, and where each begins."""
-    sizes = np.fromiter((len(t) + gap for t in texts), np.int64, len(texts))
-    starts = np.cumsum(sizes) - sizes
-    flat = np.zeros(int(sizes.sum()), np.uint64)
-    for at, text in zip(starts.tolist(), texts, strict=True):
-        flat[at : at + len(text)] = text
-    return flat, starts
-
-
 def _gram_hashes(points: np.ndarray) -> np.ndarray:
     """Hash of each run of eight code points, by doubling."""
     h = points.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -101,28 +89,77 @@ def _gram_hashes(points: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - _TABLE_BITS)
 
 
-def embed(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, repetition: int, walk: int) -> np.ndarray:
-    """Keys of one repetition: the walked words at its sampled positions. A text ends after its size of words, then zeros
-    follow; each text in ``words`` must be followed by ``room`` zeros."""
-    at, ends = starts.copy(), starts + sizes
-    key = np.full(len(starts), repetition, np.uint64)
-    chosen = set(np.random.default_rng(repetition).choice(3 * walk, min(SAMPLED, 3 * walk), replace=False).tolist())
-    last = max(chosen)
-    random = splitmix(np.arange(1, last + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(repetition << 32))
+def embed(texts: list[str], sizes: np.ndarray, repetitions: range) -> np.ndarray:
+    """[text, repetition, sample]: the walked characters at the sampled positions. A text is read up to its size, then zeros."""
+    n, r = len(texts), len(repetitions)
+    width = int(sizes.max(initial=0)) + 1
+    flat = np.zeros((n, width), np.uint32)
+    for row, text, size in zip(flat, texts, sizes.tolist(), strict=True):
+        points = np.frombuffer(text[:size].encode("utf-32-le"), "<u4")
+        row[: len(points)] = points
+    flat = flat.reshape(-1)
+    seeds = np.arange(repetitions.start, repetitions.stop, dtype=np.uint64)[:, None]
+    share = splitmix(seeds * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, SAMPLED + 1, dtype=np.uint64)) >> np.uint64(11)
+    place = (share.astype(np.float64) * 2.0**-53 * (2 * sizes)[:, None, None]).astype(np.int64).reshape(-1)
+    order = np.argsort(place, kind="stable")
+    last = int(place.max(initial=-1))
+    cuts = np.searchsorted(place[order], np.arange(last + 2)).tolist()
+    cell = order // SAMPLED
+    random = splitmix((seeds.T << np.uint64(32)) + np.arange(1, last + 2, dtype=np.uint64)[:, None])
+    factor, shift = (random | np.uint64(1)).astype(np.uint32), (random >> np.uint64(32)).astype(np.uint32)
+    base = np.repeat(np.arange(n) * width, r)
+    end = base + np.repeat(sizes, r)
+    at, out = base.copy(), np.zeros(len(place), np.uint32)
     for j in range(last + 1):
-        word = np.where(at < ends, words[at], np.uint64(0))
-        if j in chosen:
-            key = splitmix(key * np.uint64(0x100000001B3) ^ word)
-        word *= random[j] | np.uint64(1)
-        word += random[j]
-        word >>= np.uint64(63)
-        at += word.view(np.int64)
-    return key
+        letter = flat[at]
+        a, b = cuts[j], cuts[j + 1]
+        if a < b:
+            out[order[a:b]] = letter[cell[a:b]]
+        letter = letter.reshape(n, r) * factor[j]
+        letter += shift[j]
+        letter >>= np.uint32(31)
+        at += letter.reshape(-1)
+        np.minimum(at, end, out=at)
+    return out.reshape(n, r, SAMPLED)
+
+
+def agree(items: list[str], windows: list[str], repetitions: range) -> np.ndarray:
+    """Whether all samples of one of the repetitions agree, for each pair of an item and a window."""
+    out = np.zeros(len(items), bool)
+    sizes = np.fromiter(map(len, items), np.int64, len(items))
+    order = np.argsort(sizes, kind="stable")
+    for at in range(0, len(order), PAIRS):
+        own = order[at : at + PAIRS]
+        used, which = np.unique(np.array([items[i] for i in own], object), return_inverse=True)
+        known = embed(list(used), np.fromiter(map(len, used), np.int64, len(used)), repetitions)
+        out[own] = (embed([windows[i] for i in own], sizes[own], repetitions) == known[which]).all(axis=2).any(axis=1)
+    return out
 
 
-def room(walks: Iterable[int]) -> int:
-    """Zeros after a text: a walk moves on by at most one word a step."""
-    return 3 * max(walks, default=1)
+def edited(text: str, edits: int, rng: np.random.Generator) -> str:
+    """``text`` with substitutions, insertions and deletions at as many places."""
+    letters = list(text)
+    for at in sorted(rng.choice(len(text), edits, replace=False).tolist(), reverse=True):
+        new = text[int(rng.integers(len(text)))]
+        letters[at : at + 1] = [[new], [letters[at], new], []][int(rng.integers(3))]
+    return "".join(letters)
+
+
+def repetitions_for(texts: list[str], edits: float = EDITS, recall: float = RECALL, experiments: int = 120) -> int:
+    """The number of repetitions that find a share of ``recall`` of items with the most edits allowed, followed by other text."""
+    rng = np.random.default_rng(len(texts))
+    pool = [t for t in texts if int(len(t) * edits)]
+    if not pool:
+        return FIRST
+    items = [pool[int(i)] for i in rng.integers(len(pool), size=experiments)]
+    items = [t[:2000] for t in items]  # the walk of a longer item is alike; only the experiment is cut
+    windows = [edited(t, int(len(t) * edits), rng) + " " + pool[int(rng.integers(len(pool)))][: len(t)] for t in items]
+    found, done = agree(items, windows, range(FIRST)), FIRST
+    while found.mean() < recall and done < MOST:
+        left = np.flatnonzero(~found)
+        found[left] = agree([items[i] for i in left], [windows[i] for i in left], range(done, 2 * done))
+        done *= 2
+    return done
 
 
 @dataclass
@@ -132,9 +169,9 @@ class Items:
     ids: list
     texts: list[str]
     edits: float
+    repetitions: int
     grams: np.ndarray = field(init=False)
     classes: list[tuple[int, int, int]] = field(init=False)
-    keys: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         used = [i for i, text in enumerate(self.texts) if text]
@@ -154,27 +191,11 @@ class Items:
         self.groups = [[(c * shares + k) % BITS for k in range(shares)] for c in range(len(self.classes))]
         self.group_of = {i: self.groups[class_of[len(self.texts[i])]][i % shares] for i in used}
         self.grams = np.zeros(1 << _TABLE_BITS, np.uint64)
-        walks: dict[int, list[int]] = defaultdict(list)
-        words, known = {}, {}
         for i in used:
             points = np.frombuffer(self.texts[i].encode("utf-32-le"), "<u4")
             if len(points) >= Q:
                 self.grams[_gram_hashes(points)] |= np.uint64(1 << self.group_of[i])
-            words[i] = _hashes(self.texts[i].split(" "), known)
-            walks[self.walk(len(words[i]))].append(i)
         self._index(used)
-        self.sizes = np.zeros(len(self.texts), np.int64)
-        self.walks = np.zeros(len(self.texts), np.int64)
-        self.keys = np.zeros((REPETITIONS, len(self.texts)), np.uint64)
-        for walk, own in walks.items():
-            self.walks[own], self.sizes[own] = walk, [len(words[i]) for i in own]
-            flat, starts = _laid_out([words[i] for i in own], room([walk]))
-            for r in range(REPETITIONS):
-                self.keys[r, own] = embed(flat, starts, self.sizes[own], r, walk)
-
-    @staticmethod
-    def walk(n_words: int) -> int:
-        return min(n_words, WALK_WORDS)
 
     def most(self, n: int) -> int:
         return int(n * self.edits)
@@ -271,47 +292,16 @@ class Items:
         chosen = np.flatnonzero(mask)
         return chosen, mask[chosen]
 
-    def proposed(self, words: np.ndarray, starts: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """Whether a window, cut at the item's number of words, and the item agree in a repetition; exact copies do in all."""
-        out = np.zeros(len(starts), bool)
-        for walk in np.unique(self.walks[items]).tolist():
-            own = np.flatnonzero(self.walks[items] == walk)
-            for r in range(REPETITIONS):
-                out[own] |= embed(words, starts[own], self.sizes[items[own]], r, walk) == self.keys[r, items[own]]
-        return out
-
-    def passages(self, i: int, text: str, now: list[int], later: list[int]) -> list[tuple[int, int, int]]:
-        """(distance, begin, end) of one item's passages in one text. Windows that begin within an exact passage can only
-        overlap it, so the later ones of them need no distance; an exact passage that another one ousts spares none."""
-        item, most = self.texts[i], self.most(len(self.texts[i]))
-        hits: list[tuple[int, int, int]] = []
-        taken: list[tuple[int, int, int]] = []
-        while True:
-            for at in now:
-                near = edit_distance_prefix(item, text[at : at + len(item) + most], most)
-                if near:
-                    hits.append((near[0], at, at + near[1]))
-            taken = []
-            for distance, a, b in sorted(hits):
-                if all(b <= x or a >= y for _, x, y in taken):
-                    taken.append((distance, a, b))
-            exact = [(x, y) for distance, x, y in taken if not distance]
-            now = [at for at in later if not any(x <= at < y for x, y in exact)]
-            later = [at for at in later if any(x <= at < y for x, y in exact)]
-            if not now:
-                return taken
-
-    def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, first word, words, distance) for the texts of one slice."""
-        docs = [normal(t) for t in texts]
-        joined = [" ".join(d) for d in docs]
+    def pairs(self, texts: list[str]) -> list[tuple[int, int, int]]:
+        """(text, item, begin of the window) of the normal ``texts`` that the bound leaves."""
+        docs = [t.split() for t in texts]
         flat = [w for d in docs for w in d]
         if not flat or not self.classes:
             return []
-        text = "\n".join(joined)
+        text = "\n".join(texts)
         points = np.frombuffer(text.encode("utf-32-le"), "<u4")
         counts = np.fromiter(map(len, docs), np.int64, len(docs))
-        sizes = np.fromiter(map(len, joined), np.int64, len(docs))
+        sizes = np.fromiter(map(len, texts), np.int64, len(docs))
         doc_at = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
         word_sizes = np.fromiter(map(len, flat), np.int64, len(flat))
         first = np.concatenate(([0], np.cumsum(counts)[:-1]))
@@ -323,54 +313,79 @@ class Items:
         chosen, mask = self.candidates(hashes, begins, doc_ends)
         if not len(chosen):
             return []
-        pairs = list(self.bounded(text, hashes, begins, doc_ends, chosen, mask))
-        if not pairs:
-            return []
-        windows, items = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
-        used = np.unique(of[windows])
-        known: dict[str, int] = {}
-        words, laid = _laid_out([_hashes(docs[d], known) for d in used], room(self.walks.tolist()))
-        base = np.zeros(len(docs), np.int64)
-        base[used] = laid
-        proposed = self.proposed(words, base[of[windows]] + windows - first[of[windows]], items)
-        todo: dict[tuple[int, int], tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
-        for d, i, at, now in zip(of[windows].tolist(), items.tolist(), (begins[windows] - doc_at[of[windows]]).tolist(), proposed.tolist(), strict=True):
-            todo[d, i][not now].append(at)
+        found = self.bounded(text, hashes, begins, doc_ends, chosen, mask)
+        return [(int(of[w]), i, int(begins[w] - doc_at[of[w]])) for w, i in found]
+
+    def closest(self, i: int, text: str, at: int) -> tuple[int, int, int] | None:
+        """(distance, begin, end) of one window, if it is near enough."""
+        item, most = self.texts[i], self.most(len(self.texts[i]))
+        near = edit_distance_prefix(item, text[at : at + len(item) + most], most)
+        return (near[0], at, at + near[1]) if near else None
+
+    def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, first word, words, distance), each passage once.
+
+        The first repetitions are walked for all pairs, the others for windows that do not begin in a passage found.
+        """
+        docs = [" ".join(normal(t)) for t in texts]
+        left: list[tuple[int, int, int]] = []
+        at = 0
+        while at < len(docs):
+            end, size = at, 0
+            while end < len(docs) and size < 1 << 20:
+                size += len(docs[end]) + 1
+                end += 1
+            left += [(d + at, i, w) for d, i, w in self.pairs(docs[at:end])]
+            at = end
+        hits: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
+        taken: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        for repetitions in (range(FIRST), range(FIRST, self.repetitions)):
+            left = [(d, i, w) for d, i, w in left if not any(a <= w < b for _, a, b in taken.get((d, i), ()))]
+            if not left or not len(repetitions):
+                break
+            items = [self.texts[i] for _, i, _ in left]
+            said = agree(items, [docs[d][w : w + len(t)] for (d, _, w), t in zip(left, items, strict=True)], repetitions)
+            for (d, i, w), yes in zip(left, said.tolist(), strict=True):
+                near = self.closest(i, docs[d], w) if yes else None
+                if near:
+                    hits[d, i].append(near)
+            left = [pair for pair, yes in zip(left, said.tolist(), strict=True) if not yes]
+            for key, found in hits.items():
+                taken[key] = []
+                for distance, a, b in sorted(found):
+                    if all(b <= x or a >= y for _, x, y in taken[key]):
+                        taken[key].append((distance, a, b))
         out = []
-        for (d, i), (now, later) in todo.items():
-            for distance, a, b in self.passages(i, joined[d], now, later):
-                out.append((d, i, joined[d].count(" ", 0, a), joined[d].count(" ", a, b) + 1, distance))
+        for (d, i), found in sorted(taken.items()):
+            out += [(d, i, docs[d].count(" ", 0, a), docs[d].count(" ", a, b) + 1, distance) for distance, a, b in found]
         return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", edits: float = EDITS, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """One row for each passage: id, item id, first_word, n_words, distance. The benchmark is taken in blocks."""
-    spark = docs.sparkSession
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", edits: float = EDITS, recall: float = RECALL, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """One row for each passage: id, item id, first_word, n_words, distance.
+
+    The benchmark is taken in blocks of about so many items or characters, each of which is scanned for on its own.
+    """
+    spark = ready(docs)
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_id].dataType
-    items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).distinct()
-    blocks = -(-items.count() // block_items) or 1
+    items = benchmark.select(F.col(item_id).alias("item"), blank(F.col(item_text)).alias("text")).distinct()
+    n, chars = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.char_length("text")), F.lit(0))).head()
+    blocks = max(1, -(-n // block_items), -(-chars // block_chars))
     source = docs.select(F.col(id_col).alias(id_col), blank(F.col(text_col)).alias("text"))
     out = None
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast(([r["item"] for r in rows], [" ".join(normal(r["text"])) for r in rows]))
+        rows = sorted(((r["item"], " ".join(normal(r["text"]))) for r in rows), key=str)
+        texts = [t for _, t in rows]
+        shared = spark.sparkContext.broadcast(([i for i, _ in rows], texts, edits, repetitions_for(texts, edits, recall)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_type
 
-            bench = Items(*shared.value, edits)
+            bench = Items(*shared.value)
             for batch in batches:
                 ids, texts = batch.columns
-                hits: list[tuple[int, int, int, int, int]] = []
-                row = 0
-                while row < batch.num_rows:
-                    part, size = [], 0
-                    while row + len(part) < batch.num_rows and size < 1 << 20:
-                        part.append(texts[row + len(part)].as_py())
-                        size += len(part[-1])
-                    hits += [(row + h[0], *h[1:]) for h in bench.search(part)]
-                    row += len(part)
-                cols = list(zip(*hits, strict=True)) or [()] * 5
+                cols = list(zip(*bench.search(texts.to_pylist()), strict=True)) or [()] * 5
                 named = pa.array([bench.ids[i] for i in cols[1]], to_arrow_type(item_kind))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0], pa.int64())), named, *[pa.array(c, pa.int64()) for c in cols[2:]]], names=[id_col, "item_id", "first_word", "n_words", "distance"])
 
