@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 from tuplewave.llm import decontaminate as D
 from tuplewave.llm import packing, simhash, toxicity, warc
-from tuplewave.llm.quality_lm import _own_codes, grams
+from tuplewave.llm.quality_lm import SYMBOLS, Lookup, _Seen, grams, own_codes, symbols
 from tuplewave.llm.run_index import RunIndex
 from tuplewave.llm.substring_dedup import ANCHOR, COVER, PERIOD, WINDOW, Words, is_cover
 from tuplewave.llm.suffix_dedup import gram_sizes, pieces
@@ -259,11 +259,24 @@ def test_kernel():
 
 
 def test_language_model_codes():
-    texts = ["", "ab", "Xy 1"]
-    codes, begins = grams(texts)
-    assert len(_own_codes(texts)) == 6
-    assert begins.tolist() == [0, 3, 8]
-    assert len(codes) == 12
+    texts = ["", "ab", "Xy\t1", "漢é"]
+    codes, begins, lengths = grams(texts)
+    assert len(own_codes(texts)) == sum(map(len, texts)) == 8
+    assert lengths.tolist() == [0, 2, 4, 2] and begins.tolist() == [0, 4, 10, 18]
+    assert int(codes[begins[1]]) == 32 * (1 + SYMBOLS + SYMBOLS**2 + SYMBOLS**3) * SYMBOLS + ord("a")
+    assert symbols("a\n漢")[:2].tolist() == [97, 32] and 3072 <= symbols("漢")[0] < SYMBOLS
+
+
+def test_lookup_of_codes():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 60, 5000).astype(np.uint64))
+    known = Lookup(keys, np.arange(len(keys)) * 0.5)
+    at = rng.integers(0, len(keys), 20_000)
+    assert (known.get(keys[at]) == at * 0.5).all() and len(known.get(keys[:0])) == 0
+    with pytest.raises(RuntimeError):
+        known.get(keys[:1] + np.uint64(1))
+    seen = _Seen()
+    assert set(np.concatenate([seen.new(keys[a : a + 999]) for a in range(0, 5000, 500)]).tolist()) == set(keys.tolist())
 
 
 @pytest.mark.parametrize(("n", "bits"), [(1, 1), (40, 6), (400, 9), (400, 33)])

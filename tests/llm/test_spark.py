@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tuplewave.llm import quality_lm, suffix_dedup
 from tuplewave.llm.decontaminate import leaks
@@ -183,23 +184,82 @@ def test_decontamination(spark, docs):
     assert len(leaks(docs, spark.createDataFrame(items, "item_id long, text string"), block_items=1).collect()) == len(got)
 
 
-def test_quality_classifier(spark):
+def plain_model(texts):
+    """p of every n-gram by recursion over dictionaries, as a function."""
+    order, tables = quality_lm.ORDER, {}
+    coded = lambda t: tuple(quality_lm.symbols(" " * (order - 1) + t).tolist())
+    top = Counter(c[i : i + order] for c in map(coded, texts) for i in range(len(c) - order + 1))
+    for k in range(order, 0, -1):
+        tables[k] = top if k == order else Counter(g[1:] for g in tables[k + 1])
+    cuts = {k: quality_lm.discounts(*(sum(c == i for c in t.values()) for i in range(1, 5))) for k, t in tables.items()}
+
+    def p(g):
+        if not g:
+            return 1 / quality_lm.SYMBOLS
+        table, cut = tables[len(g)], cuts[len(g)]
+        own = {x: c for x, c in table.items() if x[:-1] == g[:-1]}
+        if not own:
+            return p(g[1:])
+        d = lambda c: cut[min(c, 3) - 1]
+        c = table.get(g, 0)
+        return ((c - d(c) if c else 0) + sum(map(d, own.values())) * p(g[1:])) / sum(own.values())
+
+    return lambda t: [p(coded(t)[i : i + order]) for i in range(len(t))]
+
+
+def test_language_model_by_brute_force(spark):
+    """Costs of whole texts, and probabilities of all symbols after a context, which sum to one."""
+    import math
+
+    texts = [prose(40), prose(25) + "\té漢", "aab aab aac"]
+    model = quality_lm.Model(spark.createDataFrame([(t,) for t in [*texts, None]], "text string"))
+    p = plain_model(texts)
+    rows = [(1, texts[0][:60]), (2, "unseen ZZ 漢字"), (3, ""), (4, " \n"), (5, "x"), (6, texts[2])]
+    got = {r["key"]: r for r in quality_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), model, "doc_id").collect()}
+    assert len(got) == 6
+    for i, t in rows:
+        wanted = -sum(map(math.log, p(t))) if t.strip() else 0.0
+        assert abs(got[i]["nats"] - wanted) < 1e-6 * max(1, wanted) and got[i]["chars"] == len(t) * bool(t.strip())
+    bits = quality_lm.SYMBOL_BITS
+    for context in ("aab ", "ZZZZ"):
+        h = 0
+        for c in quality_lm.symbols(context).tolist():
+            h = h << bits | c
+        asked = spark.range(quality_lm.SYMBOLS).select((F.lit(h << bits) + F.col("id")).alias("g"))
+        assert abs(model.probabilities(asked).agg(F.sum("p")).head()[0] - 1) < 1e-6
+
+
+def test_quality_classifier(spark, tmp_path):
     clean = [(i, prose(80), "aa", "w", i) for i in range(60)]
-    junk = [(100 + i, "".join(RNG.choices("QZXWVK#|!0123456789", k=400)), "aa", "w", i) for i in range(3)] + [(200, None, None, "w", 0), (201, prose(90), None, "w", 0)]
+    junk = [(100 + i, "".join(RNG.choices("QZXWVK#|!0123456789", k=400)), "aa", "w", i) for i in range(3)]
+    junk += [(200, None, None, "w", 0), (201, clean[0][1], None, "w", 0), (None, clean[1][1], "bb", "w", 0), (202, clean[2][1] * 200, "aa", "w", 0), (100, junk[0][1], "aa", "w", 0)]
     df = spark.createDataFrame(clean + junk, SCHEMA)
-    found, x = quality_lm.classify(df, spark.createDataFrame([(i,) for i in range(40)] + [(None,)], "id long"))
-    kept = {r["doc_id"]: r[x]["kept"] for r in found.collect()}
-    assert all(kept[i] for i in range(60)) and kept[201]
-    assert not any(kept[i] for i in (100, 101, 102, 200))
-    assert found.columns[:-1] == df.columns
-
-
-def test_language_model_sums_to_one(spark):
-    import numpy as np
-
-    model = quality_lm.train(spark.createDataFrame([(prose(200),), (None,)], "text string"))
-    sums = np.exp(model.dense().reshape(-1, 64).astype(np.float64)).sum(axis=1)
-    assert abs(sums - 1).max() < 1e-3
+    trusted = spark.createDataFrame([(i,) for i in [*range(40), 3]] + [(None,)], "id long")
+    found, x = quality_lm.classify(df, trusted, low=0, high=1)
+    assert found.columns[:-1] == df.columns and found.count() == df.count()
+    kept = {}
+    for r in found.collect():
+        kept.setdefault(r["doc_id"], []).append(r[x]["kept"])
+    # What was seen in training or held out is kept; other clean text may be beyond the few that were held out.
+    assert sum(all(kept[i]) for i in range(60)) >= 55 and kept[201] == [True] and kept[202] == [True]
+    assert kept[100] == [False, False] and not any(kept[i][0] for i in (101, 102, 200))
+    df.repartition(3).write.parquet(f"{tmp_path}/docs")
+    again, y = quality_lm.classify(spark.read.parquet(f"{tmp_path}/docs"), trusted, low=0, high=1)
+    values = lambda f, c: sorted((r["doc_id"] or -1, round(r[c]["perplexity"] or 0, 6), r[c]["kept"]) for r in f.collect())
+    assert values(found, x) == values(again, y)
+    nobody, z = quality_lm.classify(df, trusted.limit(0))
+    assert {r["doc_id"] for r in nobody.collect() if not r[z]["kept"]} == {200}
+
+
+def test_limits_are_quantiles_of_each_language(spark):
+    rows = [("aa", 100.0 + i, 1000, True) for i in range(500)] + [("bb", 300.0 + i, 1000, True) for i in range(500)]
+    rows += [(None, 1.0, 1000, True), ("aa", 0.0, 0, True), ("cc", 9.0, 1000, False), ("bb", 99_999.0, 1000, False)]
+    got = {r["lang"]: r for r in quality_lm.limits_of(spark.createDataFrame(rows, "lang string, nats double, chars long, held_out boolean"), 0.1, 0.9).collect()}
+    for lang, first in (("aa", 100.0), ("bb", 300.0)):
+        mean = (first + 249.5) / 1000
+        smooth = [(first + i + quality_lm.PRIOR_CHARS * mean) / (1000 + quality_lm.PRIOR_CHARS) for i in (50, 450)]
+        assert abs(got[lang]["low"] - smooth[0]) < 0.002 and abs(got[lang]["high"] - smooth[1]) < 0.002
+    assert set(got) == {"aa", "bb", ""}
 
 
 def test_toxicity(spark):
