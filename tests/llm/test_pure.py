@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tuplewave.llm import decontaminate as D
+from tuplewave.llm import near_duplicates as N
 from tuplewave.llm import packing, simhash, toxicity, warc
 from tuplewave.llm.quality_lm import SYMBOLS, Lookup, _Seen, grams, own_codes, symbols
 from tuplewave.llm.run_index import RunIndex
@@ -151,7 +152,7 @@ def test_foreign_archive():
 
 def test_segments():
     rng = random.Random(1)
-    for distance, blocks in ((2, 3), (3, 4), (1, 2)):
+    for distance, blocks in ((2, 2), (2, 3), (3, 3), (3, 4), (1, 1), (1, 2)):
         masks = simhash.segments(distance, blocks)
         for _ in range(200):
             flip = sum(1 << b for b in rng.sample(range(64), distance))
@@ -302,3 +303,29 @@ def test_forest(n, bits):
         assert groups(links) == want
         assert len(links) == len(values) - len(want)
         assert all((int(values[i]) ^ int(values[j])).bit_count() <= 3 for i, j in links)
+
+
+def test_forest_of_long_fingerprints():
+    """Edited copies of one text hang on it, and groups without relation stay apart."""
+    rng = np.random.default_rng(3)
+    bases = rng.integers(0, 256, (3, N.BITS // 8), dtype=np.uint8)
+    flip = lambda row, k: row ^ np.packbits(np.isin(np.arange(N.BITS), rng.choice(N.BITS, k, replace=False)))
+    prints = np.array([flip(bases[g], int(rng.integers(0, 16)) * (i > 0)) for g in range(3) for i in range(50)]).view(np.uint64)
+    links = N.forest(prints)
+    assert len(links) == 3 * 49 and all(i // 50 == j // 50 for i, j in links)
+    assert N.forest(prints[:1]) == []
+    keys = N.variants(prints.view(np.uint8)).reshape(len(prints), -1)
+    assert keys.shape[1] == N.BITS
+    for a, b in rng.integers(0, 150, (200, 2)):
+        parts = np.bitwise_count(prints[a].view(np.uint32) ^ prints[b].view(np.uint32))
+        assert bool(set(keys[a]) & set(keys[b])) == bool((parts <= 1).any())
+
+
+def test_signatures():
+    known = {}
+    assert N.signature([], known) == bytes(32)
+    assert N.signature(N.words_of("B a b"), known) == N.signature(N.words_of("a  b A"), known) != N.signature([b"a"], known)
+    assert N.similarity_of(N.shingles([b"a", b"b"], 5), N.shingles([b"a", b"b"], 5)) == 1.0
+    a, b = ([b"%d" % i for i in range(n)] for n in (10, 11))
+    assert N.similarity_of(N.shingles(a, 5), N.shingles(b, 5)) == 6 / 7
+    assert N.similarity_of(np.zeros(0, np.uint64), np.zeros(0, np.uint64)) == 1.0

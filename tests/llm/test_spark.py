@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tuplewave.llm import quality_lm, suffix_dedup
 from tuplewave.llm.decontaminate import leaks
+from tuplewave.llm.near_duplicates import near_duplicates
 from tuplewave.llm.packing import pack
 from tuplewave.llm.quality_rules import quality_rules
 from tuplewave.llm.queries import URL_RULES
@@ -158,6 +159,56 @@ def test_simhash_large_key(spark):
     assert len({find(v) for v in values}) == 1
 
 
+def classes_by_brute_force(rows, similarity=0.8, size=5):
+    sets, root = {}, {i: i for i, _ in rows}
+    for i, t in rows:
+        w = words_of((t or "").lower())
+        sets[i] = {tuple(w[k : k + size]) for k in range(max(len(w) - size, 0) + 1)}
+    find = lambda i: i if root[i] == i else find(root[i])
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_near_duplicates(spark, docs):
+    """Copies with words changed, added or left out, down to a similarity of 0.8, against all pairs."""
+    rng = random.Random(12)
+    rows = [(i, t) for i, t, *_ in ROWS]
+    for g in range(25):
+        base = prose(rng.randint(90, 400)).split()
+        rows.append((1000 + 10 * g, " ".join(base)))
+        for k in range(1, 6):
+            w = base[:]
+            for at in sorted(rng.sample(range(len(w)), max(1, round(len(w) * 0.011 * k / 2))), reverse=True):
+                w[at : at + 1] = rng.choice([["new"], [w[at], "more"], []])
+            rows.append((1000 + 10 * g + k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(df, "doc_id").collect()}
+    wanted = classes_by_brute_force(rows)
+    assert sum(got[i] == wanted[i] for i in wanted) >= 0.9 * len(wanted)
+    assert all(wanted[got[i]] == wanted[i] for i in wanted)  # nothing is merged that is not alike
+    assert near_duplicates(df.limit(0), "doc_id").count() == 0
+
+
+def test_near_duplicates_of_one_large_group(spark, monkeypatch):
+    """A group that is read in parts still is one class."""
+    from tuplewave.llm import near_duplicates as N
+
+    monkeypatch.setattr(N, "PART", 64)
+    base = prose(300).split()
+    rows = []
+    for i in range(400):
+        w = base[:]
+        w[i % 300] = f"edit{i}"
+        rows.append((i, " ".join(w)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()
+    assert {r["class_id"] for r in got} == {0} and len(got) == 400
+
+
 def test_packing(docs):
     rows = pack(docs).collect()
     by = {}

@@ -7,21 +7,29 @@ from pyspark.sql import functions as F
 
 from .common import drop_table, materialize
 
+#: Parts into which a node's links are dealt.
+SALTS = 64
+
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """``u`` links to its larger neighbours (large star) or to its smaller ones (small star) through the least of all.
 
-    The least neighbour is an aggregate that combines before the shuffle, and it is joined back, so a node with
-    very many neighbours is never gathered in one place.
+    The least neighbour is an aggregate that combines before the shuffle. It is joined back by the node and a salt of
+    the neighbour, once for each salt in use, so a node with very many neighbours is never gathered in one place.
     """
+    salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+
+    def joined(links: DataFrame, least: DataFrame) -> DataFrame:
+        return links.join(least.select("u", "m", F.explode("salts").alias("salt")), ["u", "salt"]).select(F.col("v").alias("src"), F.col("m").alias("dst"))
+
     if large:
-        both = pairs.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(pairs.select(F.col("dst").alias("u"), F.col("src").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("src"), F.col("m").alias("dst"))
+        both = salted(pairs.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(pairs.select(F.col("dst").alias("u"), F.col("src").alias("v"))))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.collect_set("salt").alias("salts"))
+        out = joined(both.where(F.col("v") > F.col("u")), least)
     else:
-        down = pairs.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        out = down.join(least, "u").select(F.col("v").alias("src"), F.col("m").alias("dst")).union(least.select(F.col("u").alias("src"), F.col("m").alias("dst")))
+        down = salted(pairs.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")))
+        least = down.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("salt").alias("salts"))
+        out = joined(down, least).union(least.select(F.col("u").alias("src"), F.col("m").alias("dst")))
     # A large star has a row for each pair at most, so only the small star's rows are made distinct.
     out = out.where(F.col("src") != F.col("dst"))
     return out if large else out.distinct()

@@ -2,7 +2,8 @@
 
 A fingerprint is cut into blocks and a segment is a choice of blocks. Over b blocks, d differing bits leave b - d
 blocks intact and one more with a single differing bit at most, so some choice of b - d + 1 blocks differs by at
-most one bit. Every segment is indexed with each of its bits wildcarded in turn, and an equality join on
+most one bit. By default there are as many blocks as differing bits and a segment is one block: two halves for two bits,
+which makes 64 variants of each fingerprint. Every segment is indexed with each of its bits wildcarded in turn, and an equality join on
 (segment, wildcard, remaining bits) finds each pair. Within a key
 the pairs are verified by counting differing bits and reduced to a spanning forest, so a group of n fingerprints
 gives at most n - 1 links and a key never holds more than the values of its free bits.
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank, materialize
+from .common import blank, materialize, ready
 from .components import connected_components
 
 BITS = 64
@@ -80,8 +81,8 @@ def segments(distance: int, blocks: int) -> list[int]:
     at most one, so choosing b - d + 1 blocks always leaves a choice with at most one differing bit.
     """
     take = blocks - distance + 1
-    if take < 1:
-        raise ValueError("more blocks than differing bits are needed")
+    if take < 1 or distance < 1:
+        raise ValueError("at least as many blocks as differing bits are needed, and one of these")
     edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
     parts = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
     return [sum(parts[i] for i in chosen) for chosen in combinations(range(blocks), take)]
@@ -144,7 +145,7 @@ def _forest_by_lookup(values: np.ndarray, flips: np.ndarray) -> list[tuple[int,
 
 def links(distinct: DataFrame, distance: int = 2, blocks: int | None = None) -> DataFrame:
     """``src``, ``dst``: enough links between fingerprints at ``distance`` or less to connect all that are linked."""
-    masks = segments(distance, blocks or distance + 1)
+    masks = segments(distance, blocks or distance)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     variants = [(i, bit, signed(mask & ~(1 << bit))) for i, mask in enumerate(masks) for bit in range(BITS) if mask >> bit & 1]
     table = F.array(*[F.struct(F.lit(i * BITS + bit).alias("v"), F.lit(m).cast("long").alias("m")) for i, bit, m in variants])
@@ -152,7 +153,7 @@ def links(distinct: DataFrame, distance: int = 2, blocks: int | None = None) ->
     spread = keyed.repartition(F.col("key"), F.col("v")).sortWithinPartitions("key", "v", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        held: list[list[np.ndarray]] = []  # the rows of the last key so far
 
         def scan(v: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             cut = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (v[1:] != v[:-1]), [True])))
@@ -167,22 +168,29 @@ def links(distinct: DataFrame, distance: int = 2, blocks: int | None = None) ->
             return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (src, dst)], names=["src", "dst"])
 
         for batch in batches:
-            held = [np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch.columns, strict=True)]
-            v, key, fp = held
+            v, key, fp = new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if not len(v):
                 continue
+            if held and (key[-1] != held[0][1][0] or v[-1] != held[0][0][0]):
+                new = [np.concatenate(x) for x in zip(*held, new, strict=True)]
+                held = []
+            elif held:
+                held.append(new)
+                continue
+            v, key, fp = new
             last = int(np.flatnonzero((key == key[-1]) & (v == v[-1]))[0])
             if last:
                 yield scan(v[:last], key[:last], fp[:last])
-                held = [x[last:] for x in held]
-        if len(held[0]):
-            yield scan(*held)
+            held = [[x[last:] for x in new]]
+        if held:
+            yield scan(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return spread.select(F.col("v").cast("int").alias("v"), "key", "fp").mapInArrow(run, "src bigint, dst bigint").distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, blocks: int | None = None, shingle: int = 3, seed: int = 42) -> DataFrame:
     """Id, ``fp`` (signed long) and ``component_id``: the smallest id that is reachable over links."""
+    ready(docs)
     marked = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-fp")
     distinct = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
     found = materialize(links(distinct.select("fp"), distance, blocks), "simhash-links")
