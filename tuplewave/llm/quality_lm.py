@@ -39,7 +39,7 @@ PRIOR_CHARS = 64
 #: Quantiles of held-out trusted documents between which a document is kept; one of so many trusted ones is held out.
 LOW, HIGH, HELD_OUT = 0.002, 0.998, 5
 #: Rows of a file that ask for their n-grams together.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 8192
 ALL = ""
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -130,6 +130,7 @@ class Model:
         self.shares: dict[int, DataFrame] = {}
         self.weights: dict[int, DataFrame] = {}
         counts = materialize(count_grams(texts.select(F.coalesce("text", F.lit("")).alias("text"))), "lm-counts")
+        self.tables = [counts]
         for k in range(ORDER, 0, -1):
             d1, d2, d3 = _discounts(counts)
             cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
@@ -137,8 +138,13 @@ class Model:
             contexts = materialize(table.groupBy("h").agg(F.sum("c").alias("total"), F.sum("d").alias("cut")), f"lm-contexts-{k}")
             self.weights[k] = contexts.select("h", (F.col("cut") / F.col("total")).alias("gamma"))
             self.shares[k] = table.join(contexts, "h").select("g", ((F.col("c") - F.col("d")) / F.col("total")).alias("a"))
+            self.tables.append(contexts)
             if k > 1:
-                counts = materialize(counts.groupBy(_suffix("g", k - 1).alias("g")).agg(F.count(F.lit(1)).alias("c")), f"lm-counts-{k - 1}")
+                self.tables.append(counts := materialize(counts.groupBy(_suffix("g", k - 1).alias("g")).agg(F.count(F.lit(1)).alias("c")), f"lm-counts-{k - 1}"))
+
+    def drop(self) -> None:
+        for table in self.tables:
+            drop_table(table)
 
     def probabilities(self, asked: DataFrame) -> DataFrame:
         """``g``, ``p`` for the distinct n-grams ``asked`` (column ``g``), order by order; each join is on n-grams or contexts."""
@@ -230,6 +236,7 @@ def score(docs: DataFrame, model: Model, key: str, text_col: str = "text") -> Da
     p = model.probabilities(materialize(asked.select("g").distinct(), "lm-asked-all"))
     told = materialize(asked.join(p, "g").select("block", "g", (-F.log("p")).alias("cost")), "lm-told")
     drop_table(asked)
+    drop_table(p)
     none = lambda c, t: F.lit(None).cast(t).alias(c)
     both = told.select("block", F.lit(0).alias("kind"), "g", "cost", none("key", kind), none("text", "string"))
     both = both.union(rows.select("block", F.lit(1).alias("kind"), none("g", "bigint"), none("cost", "double"), "key", "text"))
@@ -299,6 +306,7 @@ def verdicts(docs: DataFrame, trusted: DataFrame, key: str, id_col: str = "doc_i
     good = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     model = Model(good.join(learnt, F.col("id") == F.col("trusted_id"), "left_semi").select("text"))
     scores = score(docs, model, key, text_col)
+    model.drop()
     about = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     scored = materialize(scores.join(about, "key"), "lm-scored")
     drop_table(scores)
