@@ -252,11 +252,50 @@ def test_kernel():
     assert k[0, 1] > 0.5 > k[0, 2]
     assert toxicity.words_of("You I.D.I.O.T and s t u p i d!") >= {b"idiot", b"stupid", b"you"}
     assert toxicity.words_of(None) == set()
-    rng = random.Random(1)
-    clean = {"".join(rng.choices("aeioulmnrst", k=rng.randint(3, 9))).encode(): 3 for _ in range(400)}
-    scorer = toxicity.fit_hard({b"idiot": 50, b"stupid": 40, b"moron": 30}, clean, step=200)
-    bad, good = scorer.decide([b"idiot", b"stuupid", b"morxon"]), scorer.decide(list(clean))
-    assert bad.min() > np.quantile(good, 0.98)
+
+
+def labelled(n, seed):
+    """Documents of a few sentences; toxic ones have insults, some with letters inserted, dots between or spaces."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choices("aeioulmnrst", k=rng.randint(2, 9))) for _ in range(1500)]
+    insults = ["idiot", "stupid", "moron", "pathetic", "scum"]
+    rows = []
+    for i in range(n):
+        sentences = [rng.choices(vocabulary, k=rng.randint(5, 14)) for _ in range(rng.randint(2, 6))]
+        if i % 4 == 0:
+            for _ in range(rng.randint(1, 3)):
+                w = rng.choice(insults)
+                at = rng.randint(1, len(w) - 1)
+                w = rng.choice([w, w, w, w[:at] + rng.choice("aeiox") + w[at:], ".".join(w), " ".join(w), w.upper() + "!"])
+                own = rng.choice(sentences)
+                own.insert(rng.randint(0, len(own)), w)
+        rows.append((". ".join(" ".join(s) for s in sentences) + ".", int(i % 4 == 0)))
+    return rows
+
+
+def test_toxicity_of_held_out_documents():
+    """Trained on some documents, measured on others: area under the curve and recall at the threshold."""
+    train, test = labelled(1200, 1), labelled(600, 2)
+    y = np.array([t for _, t in train])
+    scorer = toxicity.fit_sentences([toxicity.sentences_of(t) for t, _ in train], y)
+    worst = lambda rows: np.array([max(scorer.decide(list(set().union(*toxicity.sentences_of(t))))) for t, _ in rows])
+    toxicity.calibrate(scorer, worst(train), y.astype(float))
+    p, y = scorer.probability(worst(test)), np.array([t for _, t in test])
+    auc = (p[y == 1][:, None] > p[y == 0]).mean() + (p[y == 1][:, None] == p[y == 0]).mean() / 2
+    assert auc >= 0.94 and (p[y == 1] >= 0.7).mean() >= 0.93 and (p[y == 0] >= 0.7).mean() <= 0.05
+    assert toxicity.fit_sentences([], np.zeros(0)) is None
+    assert toxicity.fit_sentences([[{b"same"}], [{b"same"}]], np.array([0, 1])) is None
+
+
+def test_long_words_are_scored_whole():
+    rng = np.random.default_rng(1)
+    scorer = toxicity.Scorer(rng.normal(size=toxicity.FEATURES), 0.3)
+    for n in (1, 2, 3, 50, 3000):
+        word = bytes(rng.integers(97, 123, n).astype(np.uint8))
+        assert abs(scorer.long(word) - scorer.decide([word])[0]) < 1e-9
+    long = bytes(rng.integers(97, 123, 200_000).astype(np.uint8))
+    assert scorer.decide([b"ab", long]).tolist() == [scorer.decide([b"ab"])[0], scorer.long(long)]
+    assert toxicity.sentences_of("a. b" + "c" * 9000)[1] == {b"b" + b"c" * 9000}
 
 
 def test_language_model_codes():

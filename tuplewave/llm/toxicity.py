@@ -5,13 +5,17 @@ six; a gap costs a factor for each character passed over, so inserted or changed
 The kernel has an explicit feature space of 32**3 subsequences, so the machine trained on the landmarks' kernel
 values is one weight for each subsequence, and a word is scored without visiting the landmarks.
 
-Training takes a bounded sample of labelled documents: the words of their sentences that are far more frequent in
-sentences of toxic documents are positive, those of the others negative. A document's score is that of its most
-toxic word, calibrated on the sample's documents.
+The machine is trained on sentences, each of which stands for the word that it finds most toxic. A sentence of a clean
+document must be clean. Of a toxic document only the document is labelled: those of its sentences must be toxic whose word
+is far more frequent in toxic documents' sentences, and where there is none, the one that the fit before finds most
+toxic, if it does. Fits and choices take turns, and clean sentences that violate the margin join until none is left or ``ROUNDS`` are done. Toxic words also
+stand there with a letter inserted. Training takes a bounded sample of labelled documents, whole (``sample_docs`` of each class).
+A document's score is that of its most toxic sentence, calibrated on the sample's documents.
 
 Nulls: a null text is empty; texts without a word get the lowest score. Null labels and ids are not learnt from.
 Without labels of both kinds every score is zero. Repeated rows are scored one by one; repeated labels count as one
-if they agree, toxic if not. Empty tables give empty results. Only the id and the text are read.
+if they agree, toxic if not. Words of any length are scored whole. Empty tables give empty results. Only the id and the
+text are read.
 """
 
 from __future__ import annotations
@@ -26,17 +30,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank, materialize
+from .common import blank, materialize, ready
 
 SPAN, DECAY = 6, 0.6
 CODE_BITS = 5
 FEATURES = 1 << 3 * CODE_BITS
-#: Labelled documents of each class in the training sample; words of each class; landmarks.
-SAMPLE_DOCS, SAMPLE_WORDS, LANDMARKS = 4000, 6000, 600
-#: Words whose scores a task remembers.
-CACHE = 400_000
+#: Labelled documents of each class in the training sample; landmarks; turns of choosing and fitting.
+SAMPLE_DOCS, LANDMARKS, ROUNDS = 4000, 600, 3
+#: Violating sentences' words that join the fit in one turn.
+STEP = 4000
+#: Words whose scores a task remembers; a word of more bytes is scored on its own, in parts of its subsequences.
+CACHE, LONG_WORD = 400_000, 4096
 LEAST = -4.0
-LONG_WORD = 4096
 
 _DROP = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _SPLIT_UP = re.compile(rb"(?<!\S)[a-z](?: [a-z]){2,}(?!\S)")
@@ -58,12 +63,13 @@ def words_of(text: str | None) -> set[bytes]:
     words = set(data.split())
     for run in _SPLIT_UP.findall(data):
         words.add(run.replace(b" ", b""))
-    for long in [w for w in words if len(w) > LONG_WORD]:  # scored piece by piece, so that arrays stay small
-        words.discard(long)
-        words.update(long[at : at + LONG_WORD] for at in range(0, len(long), LONG_WORD - SPAN))
     return words
 
 
+def sentences_of(text: str | None) -> list[set[bytes]]:
+    return [words_of(s) for s in re.split(r"[.!?\n]+(?=\s|$)", text or "")]
+
+
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, subsequence, weight) of all words; each word begins and ends with a boundary, and has norm one."""
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
@@ -114,7 +120,25 @@ class Scorer:
     slope: float = 4.0
     shift: float = 0.0
 
+    def long(self, word: bytes) -> float:
+        """One word of any length; its subsequences are summed part by part, so arrays stay small."""
+        codes = np.concatenate(([0], _CODE[np.frombuffer(word, np.uint8)], [0]))
+        sums = np.zeros(FEATURES)
+        for at in range(0, len(codes), 1 << 16):
+            part = codes[at : at + (1 << 16) + SPAN - 1]
+            for end in range(2, SPAN):
+                n = min(len(part) - end, 1 << 16)
+                for mid in range(1, end if n > 0 else 1):
+                    key = part[:n] << 2 * CODE_BITS | part[mid : mid + n] << CODE_BITS | part[end : end + n]
+                    sums += np.bincount(key, minlength=FEATURES) * DECAY ** (end - 2)
+        norm = np.sqrt((sums * sums).sum())
+        return float(sums @ self.weights / norm + self.bias) if norm else self.bias
+
     def decide(self, words: list[bytes]) -> np.ndarray:
+        if any(len(w) > LONG_WORD for w in words):
+            short = [w for w in words if len(w) <= LONG_WORD]
+            known = dict(zip(short, self.decide(short).tolist(), strict=True))
+            return np.array([known[w] if w in known else self.long(w) for w in words])
         out = np.zeros(len(words))
         for at in range(0, len(words), 8192):
             part = words[at : at + 8192]
@@ -126,65 +150,154 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.slope * (decisions - self.shift), -30, 30)))
 
 
-def fit_words(positive: dict[bytes, int], negative: dict[bytes, int], landmarks: int = LANDMARKS, cost: float = 300.0, rounds: int = 60) -> Scorer:
-    """Squared-hinge machine on Nyström features, by Newton steps. Each word weighs as often as it was seen (its
-    root among the negative ones) and both classes weigh the same. Landmarks are the most frequent words of each class.
-    """
-    often = lambda words, n: sorted(words, key=lambda w: (-words[w], w))[:n]
-    marks = often(positive, landmarks // 2)
-    marks += often(negative, landmarks - len(marks))
-    base = _matrix(marks)
-    values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
-    keep = values > 1e-6 * values.max()
-    root = vectors[:, keep] / np.sqrt(values[keep])
-    words = [*positive, *negative]
-    blocks = [(_matrix(words[a : a + 512]) @ base.T) @ root for a in range(0, len(words), 512)]
-    z = np.hstack((np.concatenate(blocks), np.ones((len(words), 1))))
-    y = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
-    seen = np.concatenate((np.fromiter(positive.values(), float), np.sqrt(np.fromiter(negative.values(), float))))
-    c = cost * seen / np.where(y > 0, seen[y > 0].sum(), seen[y < 0].sum())
-    ridge = np.ones(z.shape[1])
-    ridge[-1] = 1e-3
-    beta = np.zeros(z.shape[1])
-    loss = lambda w: ridge @ (w * w) + c @ np.maximum(1 - y * (z @ w), 0) ** 2
-    now = loss(beta)
-    for _ in range(rounds):
-        active = y * (z @ beta) < 1
-        za, ca = z[active], c[active]
-        step = np.linalg.solve((za * ca[:, None]).T @ za + np.diag(ridge), za.T @ (ca * y[active])) - beta
-        size = 1.0
-        while size > 1e-4 and loss(beta + size * step) >= now:
-            size /= 2
-        new = loss(beta + size * step)
-        if new >= now * (1 - 1e-9):
-            break
-        beta, now = beta + size * step, new
-    weights = base.T.astype(np.float64) @ (root @ beta[:-1])
-    return Scorer(weights, float(beta[-1]))
-
-
-def inserted(words: dict[bytes, int], most: int = 400) -> dict[bytes, int]:
-    """The most frequent words with one more letter, as disguised insults have, each seen a quarter as often."""
+class Machine:
+    """Squared-hinge machine on Nyström features, by Newton steps. Landmarks are the most frequent words of each class of
+    the first fit. Each word weighs as often as it was seen (its root among the negative ones), both classes the same."""
+
+    def __init__(self, positive: dict[bytes, int], negative: dict[bytes, int], landmarks: int = LANDMARKS) -> None:
+        often = lambda words, n: sorted(words, key=lambda w: (-words[w], w))[:n]
+        marks = often(positive, landmarks // 2)
+        marks += often(negative, landmarks - len(marks))
+        self.base = np.ascontiguousarray(_matrix(marks).T)
+        values, vectors = np.linalg.eigh((self.base.T @ self.base).astype(np.float64))
+        keep = values > 1e-6 * values.max()
+        self.root = vectors[:, keep] / np.sqrt(values[keep])
+        self.known: dict[bytes, np.ndarray] = {}
+        self.beta = np.zeros(self.root.shape[1] + 1)
+
+    def mapped(self, words: list[bytes]) -> np.ndarray:
+        """Nyström features: kernel values with the landmarks, whitened."""
+        new = [w for w in words if w not in self.known]
+        for at in range(0, len(new), 512):
+            part = new[at : at + 512]
+            word, feature, weight = features(part)
+            kernels = np.zeros((len(part), self.base.shape[1]), np.float32)
+            if len(word):
+                cut = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+                kernels[word[cut]] = np.add.reduceat(self.base[feature] * weight[:, None].astype(np.float32), cut, axis=0)
+            self.known.update(zip(part, (kernels @ self.root).astype(np.float32), strict=True))
+        return np.array([self.known[w] for w in words], np.float64)
+
+    def fit(self, positive: dict[bytes, int], negative: dict[bytes, int], cost: float = 300.0, rounds: int = 60) -> Scorer:
+        words = [*positive, *negative]
+        z = np.hstack((self.mapped(words), np.ones((len(words), 1))))
+        y = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
+        seen = np.concatenate((np.fromiter(positive.values(), float), np.sqrt(np.fromiter(negative.values(), float))))
+        c = cost * seen / np.where(y > 0, seen[y > 0].sum(), seen[y < 0].sum())
+        ridge = np.ones(z.shape[1])
+        ridge[-1] = 1e-3
+        beta = self.beta  # of the fit before
+        loss = lambda w: ridge @ (w * w) + c @ np.maximum(1 - y * (z @ w), 0) ** 2
+        now = loss(beta)
+        for _ in range(rounds):
+            active = y * (z @ beta) < 1
+            za, ca = z[active], c[active]
+            step = np.linalg.solve((za * ca[:, None]).T @ za + np.diag(ridge), za.T @ (ca * y[active])) - beta
+            size = 1.0
+            while size > 1e-4 and loss(beta + size * step) >= now:
+                size /= 2
+            new = loss(beta + size * step)
+            if new >= now * (1 - 1e-6):
+                break
+            beta, now = beta + size * step, new
+        self.beta = beta
+        return Scorer(self.base.astype(np.float64) @ (self.root @ beta[:-1]), float(beta[-1]))
+
+
+def inserted(words: dict[bytes, int]) -> dict[bytes, int]:
+    """Each word with one more letter, as disguised insults have, seen a quarter as often."""
     out: dict[bytes, int] = {}
-    for i, w in enumerate(sorted(words, key=lambda w: (-words[w], w))[:most]):
+    for i, w in enumerate(sorted(words, key=lambda w: (-words[w], w))):
         for at in {1, len(w) // 2, len(w) - 1}:
             out[w[:at] + b"aeioxstm"[(i + at) % 8 :][:1] + w[at:]] = max(1, words[w] // 4)
     return out
 
 
-def fit_hard(positive: dict[bytes, int], pool: dict[bytes, int], rounds: int = 2, step: int = 4000, **options) -> Scorer:
-    """Fits that each add the words of the negative ``pool`` which the one before took most for toxic."""
-    positive = inserted(positive) | positive
-    words = sorted(pool, key=lambda w: (zlib.crc32(w), w))
-    chosen = dict.fromkeys(words[:step])
-    for _ in range(rounds):
-        scorer = fit_words(positive, {w: pool[w] for w in chosen}, **options)
-        rest = [w for w in words if w not in chosen]
-        if not rest:
+class Bags:
+    """The distinct words of sentences, and for each sentence its words and its document."""
+
+    def __init__(self, documents: list[list[set[bytes]]]) -> None:
+        known: dict[bytes, int] = {}
+        words, sizes, self.document = [], [], []
+        for d, sentences in enumerate(documents):
+            for own in sentences:
+                if own:
+                    words += [known.setdefault(w, len(known)) for w in own]
+                    sizes.append(len(own))
+                    self.document.append(d)
+        self.words, self.document = list(known), np.array(self.document, np.int64)
+        self.word = np.array(words, np.int64)
+        self.begins = np.cumsum(sizes) - sizes if sizes else np.zeros(0, np.int64)
+        self.sentence = np.repeat(np.arange(len(sizes)), sizes)
+
+    def most(self, value: np.ndarray) -> np.ndarray:
+        """For each sentence its word with the highest value, the first of equals in the order of words."""
+        order = np.lexsort((self.word, -value[self.word], self.sentence))
+        return self.word[order[self.begins]]
+
+
+class _Values:
+    """Decisions of many words, whose features are made once."""
+
+    def __init__(self, words: list[bytes]) -> None:
+        self.n, self.parts, self.rest = len(words), [], [(i, w) for i, w in enumerate(words) if len(w) > LONG_WORD]
+        for at in range(0, len(words), 8192):
+            word, feature, weight = features([w if len(w) <= LONG_WORD else b"" for w in words[at : at + 8192]])
+            self.parts.append((at, min(8192, len(words) - at), word.astype(np.int32), feature.astype(np.int32), weight.astype(np.float32)))
+
+    def of(self, scorer: Scorer) -> np.ndarray:
+        out = np.zeros(self.n)
+        for at, n, word, feature, weight in self.parts:
+            out[at : at + n] = np.bincount(word, weight * scorer.weights[feature], n)
+        out += scorer.bias
+        for i, w in self.rest:
+            out[i] = scorer.long(w)
+        return out
+
+
+def fit_sentences(documents: list[list[set[bytes]]], toxic: np.ndarray, rounds: int = ROUNDS, step: int = STEP, **options) -> Scorer | None:
+    """The machine of ``documents`` (lists of sentences, which are sets of words); None if nothing tells the classes apart."""
+    bags = Bags(documents)
+    if not len(bags.begins):
+        return None
+    bad = toxic[bags.document].astype(bool)
+    seen = [np.bincount(bags.word[m[bags.sentence]], minlength=len(bags.words)).astype(float) for m in (~bad, bad)]
+    n = [max(int((~bad).sum()), 1), max(int(bad.sum()), 1)]
+    # Rates of sentences; the toxic one is taken 1.5 standard errors low, so that chance finds weigh little.
+    value = np.log(np.maximum(seen[1] - 1.5 * np.sqrt(seen[1]), 1e-3) / n[1]) - np.log((seen[0] + 0.3) / n[0])
+    firm = value >= np.log(6.0)
+    # What clean sentences have about as often is no insult, whatever a fit says.
+    open_to = seen[1] / n[1] > 3 * (seen[0] + 0.3) / n[0]
+    values, chosen, scorer, machine = _Values(bags.words), np.zeros(len(bags.words)), None, None
+    for turn in range(rounds):
+        best = bags.most(value)
+        hit = bad & firm[best]
+        if machine is not None:
+            # A document without such a sentence stands for the one that the fit finds most toxic, if it is.
+            told = np.zeros(len(documents), bool)
+            told[bags.document[hit]] = True
+            fits = bad & ~told[bags.document] & (value[best] > 0) & open_to[best]
+            top = np.full(len(documents), -np.inf)
+            np.maximum.at(top, bags.document[fits], value[best[fits]])
+            hit |= fits & (value[best] == top[bags.document])
+        positive = np.bincount(best[hit], minlength=len(bags.words))
+        # Clean sentences that violate the margin, the worst words first; they stay in the fit once they are chosen.
+        clean = np.bincount(best[~bad], minlength=len(bags.words))
+        order = np.lexsort((np.arange(len(clean)), -value))
+        order = order[(clean[order] > 0) & (chosen[order] == 0) & (positive[order] == 0)]
+        new = order[:step] if scorer is None else order[value[order] > -1][:step]
+        if scorer is None:  # besides the worst ones, others that stand for the words as they are
+            new = np.union1d(new, order[np.argsort([zlib.crc32(bags.words[i]) for i in order], kind="stable")[:step]])
+        chosen[new] = clean[new]
+        chosen[positive > 0] = 0
+        if not positive.any() or not chosen.any() or (turn and not len(new)):
             break
-        hard = np.argsort(-scorer.decide(rest), kind="stable")[:step]
-        chosen |= dict.fromkeys(rest[i] for i in hard)
-    return fit_words(positive, {w: pool[w] for w in chosen}, **options)
+        words = lambda of: {bags.words[i]: int(of[i]) for i in np.flatnonzero(of)}
+        toxic_words = inserted(words(positive)) | words(positive)
+        machine = machine or Machine(toxic_words, words(chosen), **options)
+        scorer = machine.fit(toxic_words, words(chosen))
+        value = values.of(scorer)
+    return scorer
 
 
 def calibrate(scorer: Scorer, decisions: np.ndarray, labels: np.ndarray, rounds: int = 50) -> None:
@@ -228,12 +341,7 @@ def _decisions(docs: DataFrame, scorer: Scorer, extra: list[str], out: str) -> D
                 if len(known) + len(new) > CACHE:
                     known.clear()
                     new = list(set().union(*words))
-                # Very long words go one by one, so that a chunk's arrays stay small.
-                long = [w for w in new if len(w) > 200]
-                short = [w for w in new if len(w) <= 200]
-                known.update(zip(short, model.decide(short).tolist(), strict=True))
-                for w in long:
-                    known[w] = float(model.decide([w])[0])
+                known.update(zip(new, model.decide(new).tolist(), strict=True))
                 best += [max(map(known.__getitem__, s), default=LEAST) for s in words]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(extra)], pa.array(np.maximum(best, LEAST) if best else np.zeros(0))], names=[*extra, out])
 
@@ -241,7 +349,7 @@ def _decisions(docs: DataFrame, scorer: Scorer, extra: list[str], out: str) -> D
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> Scorer:
-    """``labels`` are those to learn from. The sample is the ``sample_docs`` of each class with the smallest hash."""
+    """``labels`` are those to learn from. The sample is the ``sample_docs`` documents of each class with the smallest hash."""
     known = labels.select(F.col(label_id).alias("label_id"), F.col(label).cast("int").alias("y")).where("label_id is not null and y in (0, 1)")
     known = known.groupBy("label_id").agg(F.max("y").alias("y"))
     own = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(sample_docs)
@@ -249,29 +357,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), blank(F.col(text_col)).alias("text"))
     sample = materialize(rows.join(F.broadcast(ids), rows["id"] == ids["label_id"]).select("id", "y", "text"), "toxic-sample")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n: dict[bytes, list[int]] = {}
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for sentence in re.split(r"[.!?\n]+(?=\s|$)", text):
-                    for w in words_of(sentence):
-                        n.setdefault(w, [0, 0])[y] += 1
-                    n.setdefault(b"", [0, 0])[y] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array([x[0] for x in n.values()], pa.int64()), pa.array([x[1] for x in n.values()], pa.int64())], names=["word", "clean", "toxic"])
-
-    counts = materialize(sample.select("y", "text").mapInArrow(count, "word binary, clean bigint, toxic bigint").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxic-words")
-    total = counts.where(F.octet_length("word") == 0).head()
-    if not total or not total["clean"] or not total["toxic"]:
-        return Scorer(np.zeros(FEATURES), -1.0, 30.0, 1.0)
-    # Rates of sentences; a word's toxic rate is taken 1.5 standard errors low, so that chance finds weigh little.
-    rate = (F.col("toxic") - 1.5 * F.sqrt("toxic")) / total["toxic"] / ((F.col("clean") + 0.3) / total["clean"])
-    real = counts.where(F.octet_length("word").between(2, 64)).withColumn("rate", rate)
-    positive = real.where("toxic >= 3 and rate >= 6").orderBy(F.desc("toxic"), "word").limit(SAMPLE_WORDS).select("word", "toxic")
-    negative = real.where("clean >= 1 and rate < 1.5").orderBy(F.xxhash64("word"), "word").limit(10 * SAMPLE_WORDS).select("word", "clean")
-    pos, neg = ({bytes(r[0]): r[1] for r in x.collect()} for x in (positive, negative))
-    if not pos or not neg:
+    got = sample.select("y", "text").toArrow()
+    y = got["y"].to_numpy().astype(np.int64)
+    scorer = fit_sentences([sentences_of(t.as_py()) for t in got["text"]], y) if len(set(y.tolist())) == 2 else None
+    del got
+    if scorer is None:
         return Scorer(np.zeros(FEATURES), -1.0, 30.0, 1.0)
-    scorer = fit_hard(pos, neg)
     got = _decisions(sample, scorer, ["y"], "d").toArrow()
     calibrate(scorer, got["d"].to_numpy(), got["y"].to_numpy().astype(np.float64))
     return scorer
@@ -284,6 +375,7 @@ def held_out(id_col: Column) -> Column:
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **options) -> DataFrame:
     """Id, ``score`` from 0 to 1, ``predicted`` (1 from ``threshold`` on)."""
+    ready(docs)
     scorer = train(docs, labels, id_col, text_col, **options)
     rows = docs.select(F.col(id_col).alias(id_col), blank(F.col(text_col)).alias("text"))
     logit = F.lit(scorer.slope) * (F.col("d") - F.lit(scorer.shift))
