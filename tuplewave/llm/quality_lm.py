@@ -142,10 +142,6 @@ class Model:
             if k > 1:
                 self.tables.append(counts := materialize(counts.groupBy(_suffix("g", k - 1).alias("g")).agg(F.count(F.lit(1)).alias("c")), f"lm-counts-{k - 1}"))
 
-    def drop(self) -> None:
-        for table in self.tables:
-            drop_table(table)
-
     def probabilities(self, asked: DataFrame) -> DataFrame:
         """``g``, ``p`` for the distinct n-grams ``asked`` (column ``g``), order by order; each join is on n-grams or contexts."""
         wanted = {ORDER: asked}
@@ -220,7 +216,7 @@ def _ask(rows: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, model: Model, key: str, text_col: str = "text") -> DataFrame:
-    """``key``, ``nats`` (the sum of -log p) and ``chars`` (0: no word) of each row, written.
+    """``key``, ``nats`` (the sum of -log p) and ``chars`` (0: no word) of each row, written; the model's tables are deleted.
 
     A block is named by the file and the number of its rows in it, so it stays the same wherever a row is read; frames
     that are not read from files are written first.
@@ -235,8 +231,8 @@ def score(docs: DataFrame, model: Model, key: str, text_col: str = "text") -> Da
     asked = materialize(_ask(rows), "lm-asked")
     p = model.probabilities(materialize(asked.select("g").distinct(), "lm-asked-all"))
     told = materialize(asked.join(p, "g").select("block", "g", (-F.log("p")).alias("cost")), "lm-told")
-    drop_table(asked)
-    drop_table(p)
+    for table in (asked, p, *model.tables):
+        drop_table(table)
     none = lambda c, t: F.lit(None).cast(t).alias(c)
     both = told.select("block", F.lit(0).alias("kind"), "g", "cost", none("key", kind), none("text", "string"))
     both = both.union(rows.select("block", F.lit(1).alias("kind"), none("g", "bigint"), none("cost", "double"), "key", "text"))
@@ -306,7 +302,6 @@ def verdicts(docs: DataFrame, trusted: DataFrame, key: str, id_col: str = "doc_i
     good = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     model = Model(good.join(learnt, F.col("id") == F.col("trusted_id"), "left_semi").select("text"))
     scores = score(docs, model, key, text_col)
-    model.drop()
     about = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     scored = materialize(scores.join(about, "key"), "lm-scored")
     drop_table(scores)
