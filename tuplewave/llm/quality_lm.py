@@ -230,12 +230,12 @@ def score(docs: DataFrame, model: Model, key: str, text_col: str = "text") -> Da
         rows = materialize(docs.select(*own), "lm-docs").select(place, "key", "text")
     asked = materialize(_ask(rows), "lm-asked")
     p = model.probabilities(materialize(asked.select("g").distinct(), "lm-asked-all"))
-    told = materialize(asked.join(p, "g").select("block", "g", (-F.log("p")).alias("cost")), "lm-told")
+    told = materialize(asked.join(p, "g").select("block", "g", (-F.log("p")).cast("float").alias("cost")), "lm-told")
     for table in (asked, p, *model.tables):
         drop_table(table)
     none = lambda c, t: F.lit(None).cast(t).alias(c)
     both = told.select("block", F.lit(0).alias("kind"), "g", "cost", none("key", kind), none("text", "string"))
-    both = both.union(rows.select("block", F.lit(1).alias("kind"), none("g", "bigint"), none("cost", "double"), "key", "text"))
+    both = both.union(rows.select("block", F.lit(1).alias("kind"), none("g", "bigint"), none("cost", "float"), "key", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, known = None, [], None
@@ -252,7 +252,7 @@ def score(docs: DataFrame, model: Model, key: str, text_col: str = "text") -> Da
                     held.append((part.column(2).to_numpy().view(np.uint64), part.column(3).to_numpy()))
                     continue
                 if known is None:
-                    known = Lookup(*(np.concatenate(x) for x in zip(*held, strict=True))) if held else Lookup(np.zeros(0, np.uint64), np.zeros(0))
+                    known = Lookup(*(np.concatenate(x) for x in zip(*held, strict=True))) if held else Lookup(np.zeros(0, np.uint64), np.zeros(0, np.float32))
                     held = []
                 for row, texts in _slices(part, "text"):
                     codes, begins, lengths = grams(texts)
