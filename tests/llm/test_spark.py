@@ -353,6 +353,66 @@ def test_url_filter(spark):
     assert {r["page_id"]: r["verdict"] for r in told} == {1: "block", 2: "allow"}
 
 
+def test_url_filter_by_brute_force(spark):
+    """Mined rules equal those from all subsets of the URLs' tokens; nulls, repeated rows, ties and clashing columns."""
+    from tuplewave.llm import url_filter as U
+
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "spam", "win"]
+    rows = []
+    for _ in range(300):
+        own = rng.sample(words, rng.randint(1, 4))
+        bad = "spam" in own or {"alpha", "win"} <= set(own)
+        rows.append(("http://h.org/" + "/".join(own), "block" if bad != (rng.random() < 0.02) else "allow"))
+    rows += [rows[0], (None, "block"), ("http://h.org/alpha", None)]
+    labelled = spark.createDataFrame(rows, "url string, label string")
+    host, path = U.split_url(F.col("url"))
+    items = labelled.where("label is not null").select("label", U.tokens(F.coalesce("url", F.lit("")), host, path).alias("items")).cache()
+    plain = [(set(r["items"]), r["label"]) for r in items.collect()]
+    got = {(r.tokens, r.label): r.confidence for r in U.mine(items, 0.02)}
+    wanted = {}
+    tokens = sorted(set().union(*(t for t, _ in plain)) - {"scheme:http", "host:h", "host:org"} | {"host:h"})
+    from itertools import combinations
+
+    for size in range(1, 7):
+        for own in combinations(tokens, size):
+            fit = [y for t, y in plain if t >= set(own)]
+            for label in ("allow", "block"):
+                right = sum(y == label for y in fit)
+                value = (right + 1) / (len(fit) + 2)
+                if right >= 0.02 * len(plain) and value >= 0.9 and not any(k[1] == label and set(k[0]) <= set(own) and v >= value for k, v in wanted.items()):
+                    wanted[own, label] = value
+    assert got == wanted and len(wanted) >= 2
+    pages = spark.createDataFrame([(1, "http://x.net/spam", "a", "b"), (1, "http://x.net/spam", "a", "b"), (None, None, "a", "b"), (2, "http://x.net/beta", None, None)], "page_id long, url string, verdict string, items string")
+    said = url_filter(pages, [], labelled=labelled).collect()
+    assert sorted((r["page_id"] or 0, r["verdict"]) for r in said) == [(0, "allow"), (1, "block"), (1, "block"), (2, "allow")]
+    assert {r["verdict"] for r in url_filter(pages, [], labelled=labelled.limit(0), default="block").collect()} == {"block"}
+    assert url_filter(pages.limit(0), URL_RULES).count() == 0
+
+
+def test_url_filter_with_many_query_keys(spark):
+    """Thirty keys that come and go together, and thirty that come and go on their own: mining stays bounded."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(240):
+        keys = [f"k{k}" for k in range(30)] if i % 3 else []
+        keys += [f"r{k}" for k in range(30) if rng.random() < 0.9] + ["bad"] * (i % 2)
+        rows.append((f"http://site{i % 5}.org/x?" + "&".join(f"{k}={i}" for k in keys), "block" if i % 2 else "allow"))
+    labelled = spark.createDataFrame(rows, "url string, label string")
+    pages = spark.createDataFrame([(1, "http://new.org/?bad=1"), (2, "http://new.org/?good=1")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter(pages, [], labelled=labelled).collect()} == {1: "block", 2: "allow"}
+
+
+def test_url_filter_hides_what_the_list_names(spark):
+    from tuplewave.llm import url_filter as U
+
+    assert U.named_tokens(URL_RULES) == ["host:com", "host:example", "host:net", "host:www", "path:en", "path:es", "path:fr"]
+    urls = [f"http://shop{i}.net/es/deal" for i in range(30)] + [f"http://shop{i}.com/news" for i in range(30)]
+    urls += ["http://other.org/deal", "http://other.org/news", "http://other.org/es/"]
+    got = url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), URL_RULES).collect()
+    assert {r["page_id"]: (r["verdict"], r["mined"]) for r in got if r["page_id"] >= 60} == {60: ("block", "path:deal"), 61: ("allow", "path:news"), 62: ("allow", None)}
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0).cache()
     assert quality_rules(none).count() == pack(none).count() == simhash_components(none).count() == 0
