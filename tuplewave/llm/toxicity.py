@@ -22,7 +22,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -158,7 +159,9 @@ class Machine:
         often = lambda words, n: sorted(words, key=lambda w: (-words[w], w))[:n]
         marks = often(positive, landmarks // 2)
         marks += often(negative, landmarks - len(marks))
-        self.base = np.ascontiguousarray(_matrix(marks).T)
+        self.base = np.zeros((FEATURES, len(marks)), np.float32)
+        word, feature, weight = features(marks)
+        self.base[feature, word] = weight
         values, vectors = np.linalg.eigh((self.base.T @ self.base).astype(np.float64))
         keep = values > 1e-6 * values.max()
         self.root = vectors[:, keep] / np.sqrt(values[keep])
@@ -166,21 +169,24 @@ class Machine:
         self.beta = np.zeros(self.root.shape[1] + 1)
 
     def mapped(self, words: list[bytes]) -> np.ndarray:
-        """Nyström features: kernel values with the landmarks, whitened."""
+        """Nyström features: kernel values with the landmarks, whitened; the last one is always 1."""
         new = [w for w in words if w not in self.known]
-        for at in range(0, len(new), 512):
-            part = new[at : at + 512]
+        for at in range(0, len(new), 128):
+            part = new[at : at + 128]
             word, feature, weight = features(part)
             kernels = np.zeros((len(part), self.base.shape[1]), np.float32)
             if len(word):
                 cut = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
                 kernels[word[cut]] = np.add.reduceat(self.base[feature] * weight[:, None].astype(np.float32), cut, axis=0)
             self.known.update(zip(part, (kernels @ self.root).astype(np.float32), strict=True))
-        return np.array([self.known[w] for w in words], np.float64)
+        out = np.ones((len(words), self.root.shape[1] + 1), np.float32)
+        for row, w in zip(out, words, strict=True):
+            row[:-1] = self.known[w]
+        return out
 
     def fit(self, positive: dict[bytes, int], negative: dict[bytes, int], cost: float = 300.0, rounds: int = 60) -> Scorer:
         words = [*positive, *negative]
-        z = np.hstack((self.mapped(words), np.ones((len(words), 1))))
+        z = self.mapped(words)
         y = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
         seen = np.concatenate((np.fromiter(positive.values(), float), np.sqrt(np.fromiter(negative.values(), float))))
         c = cost * seen / np.where(y > 0, seen[y > 0].sum(), seen[y < 0].sum())
@@ -190,9 +196,14 @@ class Machine:
         loss = lambda w: ridge @ (w * w) + c @ np.maximum(1 - y * (z @ w), 0) ** 2
         now = loss(beta)
         for _ in range(rounds):
-            active = y * (z @ beta) < 1
-            za, ca = z[active], c[active]
-            step = np.linalg.solve((za * ca[:, None]).T @ za + np.diag(ridge), za.T @ (ca * y[active])) - beta
+            active = np.flatnonzero(y * (z @ beta) < 1)
+            both, right = np.diag(ridge), np.zeros(len(ridge))
+            for at in range(0, len(active), 2048):  # in blocks, so that only they are held in double precision
+                own = active[at : at + 2048]
+                part = z[own].astype(np.float64)
+                both += (part * c[own, None]).T @ part
+                right += part.T @ (c[own] * y[own])
+            step = np.linalg.solve(both, right) - beta
             size = 1.0
             while size > 1e-4 and loss(beta + size * step) >= now:
                 size /= 2
@@ -201,7 +212,7 @@ class Machine:
                 break
             beta, now = beta + size * step, new
         self.beta = beta
-        return Scorer(self.base.astype(np.float64) @ (self.root @ beta[:-1]), float(beta[-1]))
+        return Scorer((self.base @ (self.root @ beta[:-1]).astype(np.float32)).astype(np.float64), float(beta[-1]))
 
 
 def inserted(words: dict[bytes, int]) -> dict[bytes, int]:
@@ -216,47 +227,31 @@ def inserted(words: dict[bytes, int]) -> dict[bytes, int]:
 class Bags:
     """The distinct words of sentences, and for each sentence its words and its document."""
 
-    def __init__(self, documents: list[list[set[bytes]]]) -> None:
+    def __init__(self, documents: Iterable[list[set[bytes]]]) -> None:
+        """The sets are read one document at a time; what is held has four bytes for each word of a sentence."""
         known: dict[bytes, int] = {}
-        words, sizes, self.document = [], [], []
+        words, sizes, of = array("i"), array("i"), array("i")
         for d, sentences in enumerate(documents):
             for own in sentences:
                 if own:
-                    words += [known.setdefault(w, len(known)) for w in own]
+                    words.extend([known.setdefault(w, len(known)) for w in sorted(own)])
                     sizes.append(len(own))
-                    self.document.append(d)
-        self.words, self.document = list(known), np.array(self.document, np.int64)
-        self.word = np.array(words, np.int64)
-        self.begins = np.cumsum(sizes) - sizes if sizes else np.zeros(0, np.int64)
-        self.sentence = np.repeat(np.arange(len(sizes)), sizes)
+                    of.append(d)
+        self.words, self.document = list(known), np.frombuffer(of, np.int32) if of else np.zeros(0, np.int32)
+        self.word = np.frombuffer(words, np.int32) if words else np.zeros(0, np.int32)
+        sizes = np.array(sizes, np.int64)
+        self.begins = np.cumsum(sizes) - sizes
+        self.sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
     def most(self, value: np.ndarray) -> np.ndarray:
         """For each sentence its word with the highest value, the first of equals in the order of words."""
-        order = np.lexsort((self.word, -value[self.word], self.sentence))
-        return self.word[order[self.begins]]
-
-
-class _Values:
-    """Decisions of many words, whose features are made once."""
-
-    def __init__(self, words: list[bytes]) -> None:
-        self.n, self.parts, self.rest = len(words), [], [(i, w) for i, w in enumerate(words) if len(w) > LONG_WORD]
-        for at in range(0, len(words), 8192):
-            word, feature, weight = features([w if len(w) <= LONG_WORD else b"" for w in words[at : at + 8192]])
-            self.parts.append((at, min(8192, len(words) - at), word.astype(np.int32), feature.astype(np.int32), weight.astype(np.float32)))
-
-    def of(self, scorer: Scorer) -> np.ndarray:
-        out = np.zeros(self.n)
-        for at, n, word, feature, weight in self.parts:
-            out[at : at + n] = np.bincount(word, weight * scorer.weights[feature], n)
-        out += scorer.bias
-        for i, w in self.rest:
-            out[i] = scorer.long(w)
-        return out
+        own = value.astype(np.float32)[self.word]
+        at_top = own == np.maximum.reduceat(own, self.begins)[self.sentence]
+        return np.minimum.reduceat(np.where(at_top, self.word, len(self.words)), self.begins)
 
 
-def fit_sentences(documents: list[list[set[bytes]]], toxic: np.ndarray, rounds: int = ROUNDS, step: int = STEP, **options) -> Scorer | None:
-    """The machine of ``documents`` (lists of sentences, which are sets of words); None if nothing tells the classes apart."""
+def fit_sentences(documents: Iterable[list[set[bytes]]], toxic: np.ndarray, rounds: int = ROUNDS, step: int = STEP, **options) -> Scorer | None:
+    """The machine of ``documents`` (lists of sentences, which are sets of words; one for each of ``toxic``); None if nothing tells the classes apart."""
     bags = Bags(documents)
     if not len(bags.begins):
         return None
@@ -268,16 +263,16 @@ def fit_sentences(documents: list[list[set[bytes]]], toxic: np.ndarray, rounds:
     firm = value >= np.log(6.0)
     # What clean sentences have about as often is no insult, whatever a fit says.
     open_to = seen[1] / n[1] > 3 * (seen[0] + 0.3) / n[0]
-    values, chosen, scorer, machine = _Values(bags.words), np.zeros(len(bags.words)), None, None
+    chosen, scorer, machine = np.zeros(len(bags.words)), None, None
     for turn in range(rounds):
         best = bags.most(value)
         hit = bad & firm[best]
         if machine is not None:
             # A document without such a sentence stands for the one that the fit finds most toxic, if it is.
-            told = np.zeros(len(documents), bool)
+            told = np.zeros(len(toxic), bool)
             told[bags.document[hit]] = True
             fits = bad & ~told[bags.document] & (value[best] > 0) & open_to[best]
-            top = np.full(len(documents), -np.inf)
+            top = np.full(len(toxic), -np.inf)
             np.maximum.at(top, bags.document[fits], value[best[fits]])
             hit |= fits & (value[best] == top[bags.document])
         positive = np.bincount(best[hit], minlength=len(bags.words))
@@ -296,7 +291,8 @@ def fit_sentences(documents: list[list[set[bytes]]], toxic: np.ndarray, rounds:
         toxic_words = inserted(words(positive)) | words(positive)
         machine = machine or Machine(toxic_words, words(chosen), **options)
         scorer = machine.fit(toxic_words, words(chosen))
-        value = values.of(scorer)
+        if turn + 1 < rounds:
+            value = scorer.decide(bags.words)
     return scorer
 
 
@@ -359,7 +355,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     got = sample.select("y", "text").toArrow()
     y = got["y"].to_numpy().astype(np.int64)
-    scorer = fit_sentences([sentences_of(t.as_py()) for t in got["text"]], y) if len(set(y.tolist())) == 2 else None
+    scorer = fit_sentences((sentences_of(t.as_py()) for t in got["text"]), y) if len(set(y.tolist())) == 2 else None
     del got
     if scorer is None:
         return Scorer(np.zeros(FEATURES), -1.0, 30.0, 1.0)
