@@ -150,6 +150,45 @@ def test_foreign_archive():
     assert reader.stored("m2") == b"C" * 9
 
 
+def foreign(data, index, names, pack=True):
+    """An archive as others write it: own names, no block digests, an index of another form."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", "{}")
+        z.writestr(names[0], data)
+        if index is not None:
+            z.writestr(names[1], index)
+    return warc.ZipReader(io.BytesIO(out.getvalue()), len(out.getvalue()))
+
+
+def foreign_record(i, body):
+    head = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+    return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{i}>\r\nWARC-Target-URI: http://a/{i}\r\nContent-Type: application/http;\r\n  msgtype=response\r\nContent-Length: {len(head + body)}\r\n\r\n".encode() + head + body + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("form", ["cdxj", "cdxj.gz", "cdx", "none", "plain", "plain-none"])
+def test_archives_of_other_writers(form, monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(warc, "PART", 64)
+    bodies = [b"<p>one</p>", b"", bytes(range(256)) * 9]
+    records = [foreign_record(i, b) for i, b in enumerate(bodies)]
+    packed = [r if form.startswith("plain") else gzip.compress(r) for r in records]
+    at = [sum(map(len, packed[:i])) for i in range(3)]
+    if form == "cdx":
+        index = " CDX N b a V S g\n" + "".join(f"a,{i} 2020 http://a/{i} {at[i]} {len(packed[i])} rec-1.warc.gz\n" for i in range(3))
+    else:
+        index = '!meta {"format": "cdxj"}\n' + "".join(f'a)/{i} 2020 {{"url": "http://a/{i}", "offset": "{at[i]}", "length": {len(packed[i])}}}\n' for i in range(3))
+    index = None if form.endswith("none") else gzip.compress(index.encode()) if form.endswith("gz") else index.encode()
+    names = ("archive/rec-1.warc" + ".gz" * (not form.startswith("plain")), "indexes/all." + ("cdxj" if form.startswith("plain") else form))
+    got = list(warc.records(foreign(b"".join(packed), index, names)))
+    assert [f["warc-record-id"] for f, _ in got] == [f"<urn:uuid:{i}>" for i in range(3)]
+    assert [b.partition(b"\r\n\r\n")[2] for _, b in got] == bodies
+    assert got[0][0]["content-type"] == "application/http; msgtype=response"
+    with pytest.raises(ValueError):
+        list(warc.records(foreign(b"".join(packed)[:-9], None, names)))
+
+
 def test_segments():
     rng = random.Random(1)
     for distance, blocks in ((2, 2), (2, 3), (3, 3), (3, 4), (1, 1), (1, 2)):

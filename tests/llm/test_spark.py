@@ -341,6 +341,24 @@ def test_warc(spark):
     assert {(r["page_id"], r["refers_to"]) for r in got if r["record_type"] == "revisit"} == {(3, 1), (5, 2)}
 
 
+def test_warc_of_other_writers(spark, tmp_path):
+    """A directory of archives that this package has not written, read as a table; clashing columns of pages are ignored."""
+    import gzip
+    import zipfile
+
+    from tuplewave.llm.warc import read_archives
+
+    body = "<p>é</p>".encode()
+    head = b"HTTP/1.1 200 OK\r\n\r\n"
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:7>\r\nWARC-Target-URI: http://a/\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % len(head + body) + head + body + b"\r\n\r\n"
+    with zipfile.ZipFile(tmp_path / "x.wacz", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("archive/rec-1.warc.gz", gzip.compress(record))
+    got = read_archives(spark.createDataFrame([(f"file://{tmp_path}/x.wacz",)], "path string")).collect()
+    assert [(r["record"], r["url"], r["payload_bytes"], r["payload_digest"], r["record_type"], bytes(r["payload"])) for r in got] == [("<urn:uuid:7>", "http://a/", len(body), digest(body), "response", body)]
+    pages = spark.createDataFrame([(1, "u", "x", "k", "f"), (2, "u", "x", "k", "f")], "page_id long, url string, html string, key string, first string")
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in round_trip(pages).collect()) == [(1, "response", None), (2, "revisit", 1)]
+
+
 def test_url_filter(spark):
     urls = ["https://www.example.com/en/x", "http://a.example.com/en/?q", "http://shop.com/x", "http://b.net/fr/1", "http://B.NET/de/1", "no scheme", None, "x://h.org?y", "http://com/"]
     got = {r["page_id"]: r for r in url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), URL_RULES).collect()}

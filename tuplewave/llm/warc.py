@@ -1,13 +1,16 @@
 """WARC records in ZIP-packaged archives.
 
-An archive is a ZIP file of stored (not compressed) members: ``archive/data.warc.gz`` with one gzip member for each
-record, ``indexes/index.cdx`` with a line for each record, and ``datapackage.json``. The reader finds the end
-record, follows the ZIP64 locator and record when fields overflow, reads the central directory, locates the
-members and reads records by byte ranges; nothing is extracted.
-
-Nulls: a null payload is empty, a null url is an empty target, and a page without id is written without one
-and read back as null. Equal payloads: the page with the smallest id is the response, the others are revisits;
-rows that repeat that id are responses too, and without any id each row is a response. Empty tables give no
+An archive is a ZIP file of stored (not compressed) members, written as ``archive/data.warc.gz`` with one gzip member for
+each record, ``indexes/index.cdxj`` with a line for each record, and ``datapackage.json``. The reader finds the end
+record, follows the ZIP64 locator and record when fields overflow, reads the central directory, locates in it the stored
+members with WARC records (``*.warc``, ``*.warc.gz``) and the indexes (``*.cdxj``, ``*.cdx``, also gzipped), and reads the
+records by the byte ranges of the index lines; nothing is extracted, and of an index a part at a time is held. WARC members
+that no index names are read record by record from their beginning.
+
+Records of other writers need no block or payload digest; those that are there are verified. A record is told by its own
+id, ids as written here by the page's. Nulls: a null payload is empty, a null url is an empty target, and a page without
+id is written without one and read back as null. Equal payloads: the page with the smallest id is the response, the others
+are revisits; rows that repeat that id are responses too, and without any id each row is a response. Empty tables give no
 archive and empty results. Only the id, the url and the payload are read, so other columns cannot clash.
 """
 
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import struct
 import uuid
 import zlib
@@ -27,9 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import materialize, ready, scratch_path
 
-DATA, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdx", "datapackage.json"
+#: Members as they are written; a reader goes by the names' ends.
+DATA, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
+_WARCS, _INDEXES = (".warc.gz", ".warc"), (".cdxj", ".cdx", ".cdxj.gz", ".cdx.gz")
+#: Bytes of an index or of a record without index that are fetched at once.
+PART = 1 << 20
 #: An archive is closed when its records reach this size.
 ARCHIVE_BYTES = 256 << 20
 #: Archives are dealt one by one to at most this many reading tasks.
@@ -107,7 +115,7 @@ class ArchiveWriter:
     def add(self, data: bytes, key: str) -> None:
         pack = zlib.compressobj(1, zlib.DEFLATED, 31)
         packed = pack.compress(data) + pack.flush()
-        self.lines.append(f"{self.at} {len(packed)} {key}\n")
+        self.lines.append(f'{key or "-"} 19700101000000 {{"offset": "{self.at}", "length": "{len(packed)}", "filename": "{DATA.rpartition("/")[2]}"}}\n')
         self.zip.write(packed)
         self.at += len(packed)
 
@@ -191,25 +199,126 @@ class ZipReader:
     def stored(self, name: str) -> bytes:
         return self.read(*self.start(name))
 
+    def parts(self, name: str, at: int = 0) -> Iterator[bytes]:
+        """A stored member from a place on, a part at a time."""
+        start, size = self.start(name)
+        for a in range(at, size, PART):
+            yield self.read(start + a, min(PART, size - a))
+
+    def named(self, ends: tuple[str, ...]) -> list[str]:
+        return [n for n in self.members if n.lower().endswith(ends)]
+
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     head, _, rest = data.partition(b"\r\n\r\n")
-    first, *lines = head.decode().split("\r\n")
+    first, *lines = head.decode(errors="replace").split("\r\n")
     if not first.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-    block = rest[: int(fields["content-length"])]
-    if "sha1:" + digest(block) != fields["warc-block-digest"]:
+    fields: dict[str, str] = {}
+    for line in lines:
+        if line[:1] in (" ", "\t") and fields:  # a folded line goes on with the field before
+            fields[last] += " " + line.strip()
+            continue
+        last, _, value = line.partition(":")
+        last = last.strip().lower()
+        fields[last] = value.strip()
+    size = int(fields.get("content-length", len(rest)))
+    if len(rest) < size:
+        raise ValueError("the record is cut")
+    block = rest[:size]
+    said = fields.get("warc-block-digest", "")
+    if said.lower().startswith("sha1:") and digest(block) != said[5:].upper():
         raise ValueError("block digest differs")
     return fields, block
 
 
+def _inflated(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """The contents of the gzip members in ``parts``, as they come."""
+    engine = None
+    for data in parts:
+        while data:
+            engine = engine or zlib.decompressobj(31)
+            yield engine.decompress(data)
+            data = engine.unused_data
+            if engine.eof:
+                engine = None
+    if engine:
+        raise ValueError("a gzip member is cut")
+
+
+def index_lines(archive: ZipReader) -> Iterator[tuple[str, int, int]]:
+    """(data member, offset, length) of each line of the archive's indexes that has them: CDXJ, or CDX as its legend says.
+
+    Lines of a file name with more than one member go to the one whose name ends so; without a file name, to the only one.
+    """
+    members = archive.named(_WARCS)
+    for name in archive.named(_INDEXES):
+        parts = archive.parts(name)
+        legend: list[str] | None = None
+        rest = b""
+        for part in _chain(_inflated(parts) if name.lower().endswith(".gz") else parts):
+            *lines, rest = (rest + part).split(b"\n")
+            for raw in lines:
+                line = raw.decode(errors="replace").strip("\r")
+                if line.lstrip().startswith("CDX "):
+                    legend = line.split()[1:]
+                    continue
+                if not line.strip() or line.startswith("!"):
+                    continue
+                brace = line.find("{")
+                if legend is None and brace >= 0:
+                    found = json.loads(line[brace:])
+                    where, at, n = str(found.get("filename", "")), found.get("offset"), found.get("length")
+                elif legend is not None:
+                    found = dict(zip(legend, line.split(), strict=False))
+                    where, at, n = found.get("g", ""), found.get("V"), found.get("S")
+                else:
+                    raise ValueError(f"{name} is neither CDXJ nor CDX with a legend")
+                if at is None or n is None:
+                    continue
+                own = [m for m in members if not where or m == where or m.endswith("/" + where.rpartition("/")[2])]
+                if len(own) != 1:
+                    raise ValueError(f"{name} names {where!r}, which {len(own)} members fit")
+                yield own[0], int(at), int(n)
+
+
+def _chain(parts: Iterator[bytes]) -> Iterator[bytes]:
+    yield from parts
+    yield b"\n"
+
+
+def _sequential(archive: ZipReader, name: str) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of a data member without index lines, from its beginning."""
+    parts = archive.parts(name)
+    held = bytearray()
+    for part in _chain(_inflated(parts) if name.lower().endswith(".gz") else parts):
+        held += part
+        while True:
+            while held[:1] in (b"\r", b"\n"):
+                del held[: len(held) - len(held.lstrip(b"\r\n"))]
+            head = held.find(b"\r\n\r\n")
+            if head < 0:
+                break
+            size = next((int(x.partition(b":")[2]) for x in bytes(held[:head]).split(b"\r\n") if x.lower().startswith(b"content-length:")), 0)
+            if len(held) < head + 4 + size:
+                break
+            yield parse_record(bytes(held[: head + 4 + size]))
+            del held[: head + 4 + size]
+    if held.strip(b"\r\n"):
+        raise ValueError(f"{name} ends inside a record")
+
+
 def records(archive: ZipReader) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Every record that the index names, each by one range of the stored data member."""
-    base, _ = archive.start(DATA)
-    for line in archive.stored(INDEX).decode().splitlines():
-        at, n, *_ = line.split(" ")
-        yield parse_record(zlib.decompress(archive.read(base + int(at), int(n)), 31))
+    """Every record of the archive, each by one range of a stored data member where an index names it."""
+    starts: dict[str, int] = {}
+    for name, at, n in index_lines(archive):
+        if name not in starts:
+            starts[name] = archive.start(name)[0]
+        data = archive.read(starts[name] + at, n)
+        yield parse_record(zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data)
+    for name in archive.named(_WARCS):
+        if name not in starts:
+            yield from _sequential(archive, name)
 
 
 # ---------------------------------------------------------------- Spark
@@ -229,7 +338,8 @@ def typed_pages(pages: DataFrame, id_col: str, url_col: str, payload_col: str, l
     # Content is told apart by both digests and the length, so equal keys mean equal payloads.
     key = F.struct(F.sha2("payload", 256).alias("a"), F.octet_length("payload").alias("n"))
     slim = df.where(F.col("id").isNotNull() & (F.octet_length("payload") >= least_bytes)).select("id", key.alias("key"))
-    groups = slim.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last")
+    # Written, so that both sides of the join are plain exchanges and the commonest payload's pages can be split.
+    groups = materialize(slim.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").select("key", "first"), "warc-groups")
     later = slim.join(groups, "key").where("id != first").select(F.col("id").alias("later_id"), "first", F.col("key.a").alias("a")).distinct()
     return df.join(later, (F.col("id") == F.col("later_id")) & (F.sha2("payload", 256) == F.col("a")), "left").select("id", "url", "payload", "first")
 
@@ -239,6 +349,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     Each task attempt writes names of its own, so an attempt that is lost leaves files that no manifest lists.
     """
+    ready(pages)
     typed = typed_pages(pages, id_col, url_col, payload_col, least_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,18 +386,31 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
-    """One row for each record of the listed archives: id and refers_to (strings), url, digest, size, type, payload."""
+    """One row for each record of the listed archives (column ``path``): id and refers_to (strings), url, digest, size, type,
+    payload. Records of types that hold no page (``warcinfo``, ``request``, ``metadata``) come with their own type."""
+    ready(manifest)
     names = ["record", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * with_payload
     kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()] + [pa.binary()] * with_payload
 
+
+    def own(x: str | None) -> str | None:
+        """The page's id of a record written here, any other id as it stands."""
+        return x if not x or not x.startswith("<urn:page:") else x[10:].removesuffix(">") or None
+
     def row(fields: dict[str, str], block: bytes) -> tuple:
-        head, _, body = block.partition(b"\r\n\r\n")
-        size = next(int(h.partition(b":")[2]) for h in head.split(b"\r\n") if h.lower().startswith(b"content-length:"))
-        said, kind = fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"]
-        if kind == "response" and (len(body) != size or digest(body) != said):
-            raise ValueError("payload digest differs")
-        own = lambda x: x.removeprefix("<urn:page:").removesuffix(">") or None if x else None
-        return (own(fields["warc-record-id"]), fields["warc-target-uri"], size, said, kind, own(fields.get("warc-refers-to"))) + (body if kind == "response" else None,) * with_payload
+        kind = fields.get("warc-type", "")
+        http = fields.get("content-type", "").lower().startswith("application/http")
+        head, _, body = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+        size = next((int(h.partition(b":")[2]) for h in head.split(b"\r\n") if h.lower().startswith(b"content-length:")), len(body))
+        said = fields.get("warc-payload-digest", "")
+        said = said[5:].upper() if said.lower().startswith("sha1:") else None
+        if kind != "revisit":
+            # Of a transfer coding the digest covers the decoded payload, of which the block says nothing.
+            plain = not any(h.lower().startswith(b"transfer-encoding:") for h in head.split(b"\r\n"))
+            if plain and (len(body) != size or said not in (None, digest(body))):
+                raise ValueError("payload digest differs")
+            said = said or digest(body)
+        return (own(fields.get("warc-record-id")), fields.get("warc-target-uri"), size, said, kind, own(fields.get("warc-refers-to"))) + (body if kind != "revisit" else None,) * with_payload
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
