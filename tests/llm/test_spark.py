@@ -209,10 +209,30 @@ def test_near_duplicates_of_one_large_group(spark, monkeypatch):
     assert {r["class_id"] for r in got} == {0} and len(got) == 400
 
 
-def test_packing(docs):
-    rows = pack(docs).collect()
+def test_packing(spark, docs):
+    """Ids, checksums and places of every piece, and as many sequences as best fit takes piece by piece; repeated and null ids."""
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from tuplewave.llm.packing import sequences_of, tokenizer_path
+
+    encode = Tokenizer.from_file(tokenizer_path())
+    encode.encode_special_tokens = True
+    rows = [(i, t) for i, t, *_ in ROWS] + [(4, "again"), (None, "nobody"), (4, "again")]
+    wanted, lengths = Counter(), []
+    for i, t in rows:
+        ids = np.array([*encode.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        head = len(ids) % 2048
+        cuts = sorted({0, *range(head, len(ids), 2048), len(ids)})
+        for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            wanted[i, piece, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+            lengths.append(b - a)
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == wanted
     by = {}
-    for r in rows:
+    for r in got:
         by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for places in by.values():
         at = 0
@@ -220,9 +240,7 @@ def test_packing(docs):
             assert offset == at
             at += length
         assert at <= 2048
-    total = sum(r["length"] for r in rows)
-    assert len(by) <= total // 2048 + 2
-    assert {r["doc_id"] for r in rows} == {i for i, *_ in ROWS}
+    assert len(by) == len({s for s, _ in sequences_of(lengths, 2048)}) <= sum(lengths) // 2048 + 2
 
 
 def test_decontamination(spark, docs):

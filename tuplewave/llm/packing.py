@@ -11,6 +11,8 @@ packed one by one. An empty table gives an empty result. Only the id and the tex
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blank, materialize
+from .common import blank, broadcast_if_small, materialize, ready
 
 #: Runs of this much white space take the splitter that needs no stack.
 SPACES = 2000
@@ -120,44 +122,70 @@ def _pieces(n: int, most: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:] + [n], strict=True)]
 
 
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(path)
+    out.encode_special_tokens = True
+    return out
+
+
+def _vocabulary(path: str) -> tuple[dict, dict[bytes, int]]:
+    """The file's contents, and the ids by the bytes of their tokens."""
+    with open(path, encoding="utf-8") as file:
+        whole = json.load(file)
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    return whole, {bytes(byte_of[c] for c in s): i for s, i in whole["model"]["vocab"].items() if all(c in byte_of for c in s)}
+
+
+@functools.lru_cache(maxsize=8)
+def merges_by_id(path: str) -> bool:
+    """Whether merging any neighbours that make a token, by the token's id, gives the file's own ids.
+
+    So it is if the merges' results have ascending ids and each token is what its own text is merged to, since inside a
+    token's span no other way leads to it then; and if the file splits texts by ``PRE_TOKEN``, without normalising them.
+    """
+    whole, ranks = _vocabulary(path)
+    model = whole["model"]
+    made = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+    if model.get("type", "BPE") != "BPE" or any(x >= y for x, y in zip(made, made[1:])) or len({*range(256)} & {t[0] for t in ranks if len(t) == 1}) < 256:
+        return False
+    before = whole.get("pre_tokenizer") or {}
+    own = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    if not own or whole.get("normalizer") or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    special = {t["content"] for t in whole.get("added_tokens", [])}
+    merge = _tokenizer(path).model.tokenize
+    return all(token in special or [t.id for t in merge(token)] == [number] for token, number in model["vocab"].items())
+
+
 class Encoder:
     """Byte-level BPE ids as little-endian unsigned 32-bit bytes, the same that ``tokenizers`` gives for the file.
 
-    ``tiktoken`` merges any neighbours that make a token, by the token's id. That gives the file's merges if their
-    results' ids ascend and each token is what its own text is merged to: inside a token's span no other
-    way leads to it. The first is checked here, the second in the tests for the public file. Long runs of white space
-    overflow the stack of its splitter, so texts with one are split here and merged by ``tokenizers``.
+    With ``fast``, which ``merges_by_id`` must have allowed for the file, ``tiktoken`` makes them. Long runs of white
+    space overflow the stack of its splitter, so texts with one are split here and merged by ``tokenizers``, as all texts
+    are for other files.
     """
 
-    def __init__(self, path: str) -> None:
-        import json
-
+    def __init__(self, path: str, fast: bool) -> None:
         import regex
         import tiktoken
 
-        with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
-        vocabulary: dict[str, int] = model["vocab"]
-        made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
-        if any(x >= y for x, y in zip(made, made[1:])):
-            raise ValueError("the merges' results must have ascending ids")
-        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
-        ranks = {bytes(byte_of[c] for c in s): i for s, i in vocabulary.items() if all(c in byte_of for c in s)}
-        self.path = path
-        self.fast = tiktoken.Encoding("byte-level", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.path, self.fast, self.slow = path, None, None
+        if fast:
+            _, ranks = _vocabulary(path)
+            self.fast = tiktoken.Encoding("byte-level", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.long_run = re.compile(r"\s{%d}" % SPACES).search
         self.split = regex.compile(PRE_TOKEN).findall
-        self.slow = None
 
     def __call__(self, text: str) -> bytes:
-        if not self.long_run(text):
+        if self.fast and not self.long_run(text):
             return np.array(self.fast(text), "<u4").tobytes()
         if self.slow is None:
-            from tokenizers import Tokenizer
-
-            self.slow = Tokenizer.from_file(self.path)
-            self.slow.encode_special_tokens = True
+            self.slow = _tokenizer(self.path)
+        if not self.fast:
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = self.split(text)
         new = list(dict.fromkeys(parts))
         known = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, self.slow.encode_batch(new, add_special_tokens=False), strict=True)}
@@ -178,11 +206,12 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_
     """Pieces with their block (a written file of one task) and rank among the block's pieces of equal length."""
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "piece", "start", "length", "ids_crc32", "block", "nth"]
+    fast = merges_by_id(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = Encoder(path)
+        encode = Encoder(path, fast)
         end = np.array([end_id], "<u4").tobytes()
         block = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
@@ -211,7 +240,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     within its length is its rank in its block plus the counts of earlier blocks, so no length is gathered in
     one task; the pieces are a written table, so a task that runs again cannot change the ranks.
     """
-    spark = docs.sparkSession
+    spark = ready(docs)
     pieces = materialize(tokenized_pieces(docs, path or tokenizer_path(), capacity, end_id, id_col, text_col), "pieces")
     blocks = materialize(pieces.groupBy("block", "length").agg((F.max("nth") + 1).alias("n")), "blocks")
     counts = {r["length"]: r["n"] for r in blocks.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -221,7 +250,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     plan = spark.createDataFrame(placed, "length long, rank long, count long, first long, each long, offset0 long")
     plan = plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("rank", "count", "first", "each", "offset0"))).alias("plan"))
     rank = F.col("nth") + F.col("before")
-    ranked = pieces.join(base, ["block", "length"]).select("*", rank.alias("rank")).join(F.broadcast(plan), "length")
+    ranked = pieces.join(base, ["block", "length"]).select("*", rank.alias("rank")).join(broadcast_if_small(plan), "length")
     own = F.element_at(F.filter("plan", lambda p: (p["rank"] <= F.col("rank")) & (F.col("rank") < p["rank"] + p["count"])), 1)
     found = ranked.select(id_col, "piece", "start", "length", "ids_crc32", "rank", own.alias("p"))
     nth = F.col("rank") - F.col("p.rank")
