@@ -1,8 +1,10 @@
 """FILTER expressions as native columns.
 
 An expression is a nested tuple ``(operator, operand, ...)``; leaves are ``Var`` and ``Const``. SPARQL's errors are nulls,
-which three-valued SQL logic carries as SPARQL's does. Values have a static type: ``num``, ``bool``, ``str``, ``time``, or
-``term`` for encoded terms, whose type is decided row by row. Numbers are doubles; integer exactness ends at 2**53.
+which three-valued SQL logic carries as SPARQL's does. Values have a static type: ``int``, ``dec`` and ``num`` (double),
+``bool``, ``str``, ``time``, or ``term`` for encoded terms, whose type is decided row by row. Integers and decimals are
+compared and computed exactly (up to 38 digits, ten of them behind the point); where a double takes part, or the type of a
+term is not known before it is read, arithmetic is in doubles. Functions of strings keep the language of their argument.
 """
 
 from __future__ import annotations
@@ -10,10 +12,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DataType, DateType, NumericType, TimestampNTZType, TimestampType
+from pyspark.sql.types import BooleanType, DataType, DateType, DecimalType, IntegralType, NumericType, TimestampNTZType, TimestampType
 
 from ..plans.algebra import Const, IncompatibleQueryError, Var
 from . import terms as T
@@ -31,16 +34,33 @@ def typed(col: Column, kind: DataType | None) -> Value:
         return Value("term", col)
     if isinstance(kind, BooleanType):
         return Value("bool", col)
+    if isinstance(kind, IntegralType):
+        return Value("int", col)
     if isinstance(kind, NumericType):
-        return Value("num", col)
+        return Value("dec" if isinstance(kind, DecimalType) else "num", col)
     if isinstance(kind, (TimestampType, TimestampNTZType, DateType)):
         return Value("time", col.cast("timestamp"))
     return Value("str", col)
 
 
+NUMBERS = ("int", "dec", "num")
+#: Exact literals of terms; longer ones are compared as doubles.
+EXACT = [t for t in T.NUMERIC if t not in (T.DOUBLE, T.XSD + "float")]
+_EXACT_TYPE = "decimal(38,10)"
+
+
+def exact(v: Value) -> Column:
+    """The value of an integer or decimal, null for others."""
+    if v.kind in ("int", "dec"):
+        return v.col.try_cast(_EXACT_TYPE)
+    if v.kind == "term":
+        return F.when(T.datatype(v.col).isin(EXACT), T.lexical(v.col).try_cast(_EXACT_TYPE))
+    return F.lit(None).cast(_EXACT_TYPE)
+
+
 def number(v: Value) -> Column:
-    if v.kind == "num":
-        return v.col
+    if v.kind in NUMBERS:
+        return v.col.cast("double") if v.kind != "num" else v.col
     if v.kind == "term":
         return F.when(T.datatype(v.col).isin(T.NUMERIC), T.lexical(v.col).try_cast("double"))
     return F.lit(None).cast("double")
@@ -77,13 +97,26 @@ def written(v: Value) -> Column:
         return F.when(~T.is_blank(v.col), T.lexical(v.col))
     if v.kind == "time":
         return F.date_format(v.col, "yyyy-MM-dd'T'HH:mm:ss")
+    if v.kind == "dec":
+        # Canonical: no zeros at the end of the fraction.
+        return F.regexp_replace(F.regexp_replace(v.col.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     return v.col.cast("string")
 
 
+def like(v: Value, text: Column) -> Value:
+    """``text`` as a string of the same type and language as the string ``v``."""
+    if v.kind != "term":
+        return Value("str", text)
+    known = string(v).isNotNull()
+    return Value("term", F.when(known, F.concat(F.lit("L"), T.datatype(v.col), F.lit(T.CUT), T.language(v.col), F.lit(T.CUT), text)))
+
+
 def effective(v: Value) -> Column:
     """Effective boolean value."""
     if v.kind == "bool":
         return v.col
+    if v.kind in ("int", "dec"):
+        return v.col != 0
     if v.kind == "num":
         return (v.col != 0) & ~F.isnan(v.col.cast("double"))
     if v.kind == "str":
@@ -97,15 +130,15 @@ def effective(v: Value) -> Column:
 def term(v: Value) -> Column:
     if v.kind == "term":
         return v.col
-    kind = {"num": T.DOUBLE, "bool": T.BOOLEAN, "str": T.STRING, "time": T.DATE_TIME}[v.kind]
+    kind = {"int": T.INTEGER, "dec": T.DECIMAL, "num": T.DOUBLE, "bool": T.BOOLEAN, "str": T.STRING, "time": T.DATE_TIME}[v.kind]
     return T.literal_column(written(v), kind)
 
 
 def _compare(op: str, a: Value, b: Value) -> Column:
     apply = {"=": lambda x, y: x == y, "!=": lambda x, y: x != y, "<": lambda x, y: x < y, ">": lambda x, y: x > y, "<=": lambda x, y: x <= y, ">=": lambda x, y: x >= y}[op]
     if "term" not in (a.kind, b.kind):
-        return apply(a.col, b.col) if a.kind == b.kind else F.lit(None).cast("boolean")
-    by_type = [apply(f(a), f(b)) for f in (number, moment, truth_literal)]
+        return apply(a.col, b.col) if a.kind == b.kind or {a.kind, b.kind} <= set(NUMBERS) else F.lit(None).cast("boolean")
+    by_type = [apply(f(a), f(b)) for f in (exact, number, moment, truth_literal)]
     if op in ("=", "!="):
         same = term(a) == term(b)
         # Different literals of which one has an unknown datatype cannot be told apart by value.
@@ -120,7 +153,7 @@ def _field(pattern: str) -> Callable[[Value], Value]:
     """A field of a dateTime as it is written, in the literal's own offset."""
     def get(v: Value) -> Value:
         text = F.when(moment(v).isNotNull(), written(v))
-        return Value("num", F.regexp_extract(text, pattern, 1).try_cast("double"))
+        return Value("dec" if "\\." in pattern else "int", F.regexp_extract(text, pattern, 1).try_cast("decimal(20,9)" if "\\." in pattern else "long"))
 
     return get
 
@@ -178,7 +211,13 @@ def _cast(kind: str, v: Value) -> Value:
     if kind == T.DATE_TIME:
         return Value("term", F.when(text.try_cast("timestamp").isNotNull(), T.literal_column(text, T.DATE_TIME)))
     n = F.coalesce(number(v), truth_literal(v).cast("double"), string(v).try_cast("double"))
-    return Value("num", F.when(~F.isnan(n), F.expr("1") * F.when(n < 0, F.ceil(n)).otherwise(F.floor(n))) if kind == T.INTEGER else n)
+    if kind not in (T.INTEGER, T.DECIMAL):
+        return Value("num", n)
+    plain = F.when(string(v).rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)\s*$" if kind == T.DECIMAL else r"^\s*[+-]?\d+\s*$"), F.trim(string(v))).try_cast(_EXACT_TYPE)
+    whole = F.coalesce(exact(v), F.when(string(v).isNull(), n).try_cast(_EXACT_TYPE), plain)
+    if kind == T.DECIMAL:
+        return Value("dec", whole)
+    return Value("int", F.when(whole < 0, F.ceil(whole)).otherwise(F.floor(whole)).try_cast("decimal(38,0)"))
 
 
 def _hash(f: Callable[[Column], Column]) -> Callable[[Value], Value]:
@@ -186,11 +225,49 @@ def _hash(f: Callable[[Column], Column]) -> Callable[[Value], Value]:
 
 
 def _text(f: Callable[..., Column]) -> Callable[..., Value]:
-    return lambda *vs: Value("str", f(*map(string, vs)))
+    """A function of strings; the result is a string like the first."""
+    return lambda *vs: like(vs[0], f(*map(string, vs)))
+
+
+def _part(f: Callable[[Column, Column], Column]) -> Callable[[Value, Value], Value]:
+    """STRBEFORE and STRAFTER: like the first string if the second is in it, else the plain empty string."""
+    def get(v: Value, part: Value) -> Value:
+        s, p = string(v), string(part)
+        found = like(v, f(s, p))
+        if found.kind == "str":
+            return found
+        return Value("term", F.when(F.contains(s, p), found.col).when(~F.contains(s, p), F.lit(T.literal(""))))
+
+    return get
+
+
+def _concat(*vs: Value) -> Value:
+    """With the language that all arguments share, else a plain string."""
+    text = F.concat(*map(string, vs)) if vs else F.lit("")
+    if any(v.kind == "str" for v in vs) or not vs:
+        return Value("str", text)
+    tags = [_language(v) for v in vs]
+    same = F.lit(True)
+    for t in tags[1:]:
+        same = same & (t == tags[0])
+    return Value("term", F.when(same & (tags[0] != ""), like(vs[0], text).col).otherwise(T.literal_column(text)))
 
 
 def _num(f: Callable[..., Column]) -> Callable[..., Value]:
-    return lambda *vs: Value("num", f(*map(number, vs)))
+    """A function of a number that keeps its type."""
+    return lambda v: Value(v.kind, f(v.col)) if v.kind in ("int", "dec") else Value("num", f(number(v)))
+
+
+def _arithmetic(op: str, a: Value, b: Value) -> Value:
+    """By XPath's promotion: integers stay so but for division, a decimal makes decimals, a double doubles."""
+    if {a.kind, b.kind} <= {"int", "dec"}:
+        wide = lambda v: v.col.cast("decimal(38,0)" if v.kind == "int" else _EXACT_TYPE)
+        x, y = wide(a), wide(b)
+        kind = "int" if a.kind == b.kind == "int" and op != "/" else "dec"
+        made = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}[op](x, y)
+        return Value(kind, made.try_cast("decimal(38,0)" if kind == "int" else "decimal(38,10)"))
+    x, y = number(a), number(b)
+    return Value("num", {"+": x + y, "-": x - y, "*": x * y, "/": F.try_divide(x, y)}[op])
 
 
 def _kind(test: Callable[[Column], Column], native: bool) -> Callable[[Value], Value]:
@@ -217,13 +294,13 @@ FUNCTIONS: dict[str, Callable[..., Value]] = {
     "STRDT": lambda s, d: Value("term", F.concat(F.lit("L"), F.substr(term(d), F.lit(2)), F.lit(T.CUT + T.CUT), string(s))),
     "STRLANG": lambda s, t: Value("term", F.concat(F.lit(f"L{T.LANG_STRING}{T.CUT}"), F.lower(string(t)), F.lit(T.CUT), string(s))),
     "UUID": lambda: Value("term", F.concat(F.lit("Uurn:uuid:"), F.uuid())), "STRUUID": lambda: Value("str", F.uuid()),
-    "STRLEN": lambda s: Value("num", F.char_length(string(s))),
-    "SUBSTR": lambda s, at, *n: Value("str", F.substr(string(s), number(at).cast("int"), *[number(x).cast("int") for x in n])),
-    "UCASE": _text(F.upper), "LCASE": _text(F.lower), "CONCAT": _text(F.concat), "ENCODE_FOR_URI": _text(_url),
+    "STRLEN": lambda s: Value("int", F.char_length(string(s))),
+    "SUBSTR": lambda s, at, *n: like(s, F.substr(string(s), number(at).cast("int"), *[number(x).cast("int") for x in n])),
+    "UCASE": _text(F.upper), "LCASE": _text(F.lower), "CONCAT": _concat, "ENCODE_FOR_URI": lambda s: Value("str", _url(string(s))),
     "STRSTARTS": lambda s, p: Value("bool", F.startswith(string(s), string(p))), "STRENDS": lambda s, p: Value("bool", F.endswith(string(s), string(p))),
-    "CONTAINS": lambda s, p: Value("bool", F.contains(string(s), string(p))), "STRBEFORE": _text(_before), "STRAFTER": _text(_after),
+    "CONTAINS": lambda s, p: Value("bool", F.contains(string(s), string(p))), "STRBEFORE": _part(_before), "STRAFTER": _part(_after),
     "LANGMATCHES": _lang_matches,
-    "ABS": _num(F.abs), "CEIL": _num(F.ceil), "FLOOR": _num(F.floor), "ROUND": _num(lambda x: F.floor(x + 0.5)), "RAND": lambda: Value("num", F.rand()),
+    "ABS": _num(F.abs), "CEIL": _num(F.ceil), "FLOOR": _num(F.floor), "ROUND": _num(lambda x: F.floor(x + F.lit(Decimal("0.5")))), "RAND": lambda: Value("num", F.rand()),
     "NOW": lambda: Value("time", F.current_timestamp()),
     "YEAR": _field(r"^(-?\d{4,})-"), "MONTH": _field(r"^-?\d{4,}-(\d{2})-"), "DAY": _field(r"^-?\d{4,}-\d{2}-(\d{2})T"),
     "HOURS": _field(_DATE + r"(\d{2}):"), "MINUTES": _field(_DATE + r"\d{2}:(\d{2}):"), "SECONDS": _field(_DATE + r"\d{2}:\d{2}:(\d{2}(?:\.\d+)?)" + _TIME),
@@ -243,12 +320,16 @@ def evaluate(expr: object, binding: Callable[[str], Value]) -> Value:
         v = expr.value
         if isinstance(v, bool):
             return Value("bool", F.lit(v))
-        if isinstance(v, (int, float)):
-            return Value("num", F.lit(v))
+        if isinstance(v, (int, float, Decimal)):
+            return Value({int: "int", float: "num"}.get(type(v), "dec"), F.lit(v))
         kind, text, datatype, _ = T.parts(v)
         if datatype == T.STRING:
             return Value("str", F.lit(text))
         if datatype in T.NUMERIC and re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", text):
+            if datatype in EXACT and len(text) <= 27:
+                whole = "." not in text
+                short = whole and abs(int(text)) < 1 << 63
+                return Value("int" if whole else "dec", F.lit(int(text) if short else Decimal(text)))
             return Value("num", F.lit(float(text)))
         return Value("term", F.lit(v))
     op, *args = expr
@@ -266,11 +347,9 @@ def evaluate(expr: object, binding: Callable[[str], Value]) -> Value:
             found = found | _compare("=", own, value(e))
         return Value("bool", found if op == "IN" else ~found)
     if op in ("+", "-", "*", "/") and len(args) == 2:
-        a, b = (number(value(e)) for e in args)
-        return Value("num", {"+": a + b, "-": a - b, "*": a * b, "/": F.try_divide(a, b)}[op])
+        return _arithmetic(op, *map(value, args))
     if op in ("u-", "u+"):
-        a = number(value(args[0]))
-        return Value("num", -a if op == "u-" else a)
+        return _num(lambda x: -x if op == "u-" else x)(value(args[0]))
     if op == "BOUND":
         return Value("bool", value(args[0]).col.isNotNull())
     if op == "IF":
@@ -285,7 +364,8 @@ def evaluate(expr: object, binding: Callable[[str], Value]) -> Value:
     if op == "REGEX":
         return Value("bool", F.rlike(string(value(args[0])), _flags(string(value(args[1])), _constant(args[2]) if len(args) > 2 else "")))
     if op == "REPLACE":
-        return Value("str", F.regexp_replace(string(value(args[0])), _flags(string(value(args[1])), _constant(args[3]) if len(args) > 3 else ""), string(value(args[2]))))
+        own = value(args[0])
+        return like(own, F.regexp_replace(string(own), _flags(string(value(args[1])), _constant(args[3]) if len(args) > 3 else ""), string(value(args[2]))))
     if op in CASTS:
         return _cast(op, value(args[0]))
     if op not in FUNCTIONS:

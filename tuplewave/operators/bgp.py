@@ -37,7 +37,8 @@ def _plain(value: object, kind: DataType | None) -> Column:
 def scan(relation: Relation, pattern: TuplePattern, streaming: bool = False) -> DataFrame:
     """Constants become filters that reach the source, repeated variables an equality of two columns.
 
-    Only the columns that a variable needs are kept. A pattern longer than the relation matches nothing.
+    Only the columns that a variable needs are kept. Repeated tuples are looked for only where the pattern does not hold
+    the relation's key.
     """
     if len(pattern.terms) > len(relation.columns):
         raise IncompatibleQueryError(f"{relation.columns} has fewer positions than the pattern")
@@ -53,24 +54,66 @@ def scan(relation: Relation, pattern: TuplePattern, streaming: bool = False) ->
     df = df.select(*[F.col(c).alias(v) for v, c in first.items()], *[F.col(c).alias(n) for c, n in meta])
     for v in first:
         df = df.where(F.col(f"`{v}`").isNotNull())
-    if relation.bag or streaming:
+    if relation.bag or streaming or (relation.key and set(relation.key) <= set(relation.columns[: len(pattern.terms)])):
         return df
     names = [n for _, n in meta]
     return supersede(df, list(first), *[n if n in names else None for n in (SEQ, ARRIVAL, EXPIRES)])
 
 
-def join_order(patterns: list[TuplePattern]) -> list[TuplePattern]:
-    """Each pattern after one it shares a variable with, those with more constants first."""
-    bound = lambda p: sum(isinstance(t, Const) for t in p.terms)
-    left = sorted(patterns, key=lambda p: (-bound(p), len(p.variables)))
-    out, known = [], set()
-    while left:
-        near = [p for p in left if known & set(p.variables)] or left
-        best = max(near, key=lambda p: (len(known & set(p.variables)), bound(p)))
-        out.append(best)
-        left.remove(best)
-        known |= set(best.variables)
-    return out
+def estimated_rows(df: DataFrame) -> float:
+    """What the optimizer knows of a frame's size, by the width of its rows; no job runs."""
+    size = float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1.0, size / (8 + sum(f.dataType.jsonValue() == "string" and 20 or 8 for f in df.schema)))
+
+
+@dataclass(frozen=True)
+class Sized:
+    """A pattern for the order of joins: its variables, the rows it may have, the sets of variables that are keys of it."""
+
+    variables: frozenset[str]
+    rows: float
+    keys: tuple[frozenset[str], ...] = ()
+
+
+def sized(relation: Relation, pattern: TuplePattern, rows: float) -> Sized:
+    bound = {c: t for c, t in zip(relation.columns, pattern.terms, strict=False)}
+    keys = []
+    if relation.key and set(relation.key) <= set(bound):
+        keys.append(frozenset(bound[c].name for c in relation.key if not isinstance(bound[c], Const)))
+    fixed = sum(isinstance(t, Const) for t in pattern.terms)
+    return Sized(frozenset(pattern.variables), 1.0 if keys and not keys[0] else max(1.0, rows * 0.1**fixed), tuple(keys))
+
+
+def _joined(a: Sized, b: Sized) -> tuple[bool, Sized]:
+    """Whether a key joins them, so that the result is no larger than one side; and the result."""
+    shared = a.variables & b.variables
+    both = a.variables | b.variables
+    if any(k <= shared for k in b.keys):
+        return True, Sized(both, a.rows, a.keys)
+    if any(k <= shared for k in a.keys):
+        return True, Sized(both, b.rows, b.keys)
+    return False, Sized(both, a.rows * b.rows / max(a.rows, b.rows) ** 0.5, ())
+
+
+def join_order(patterns: list[Sized]) -> list[int]:
+    """Each pattern after one it shares a variable with: joins by a key first, then those with the smallest result.
+
+    All patterns are tried as the first; the order with the fewest joins without a key, then the smallest results, is taken.
+    """
+    best = None
+    for start in range(len(patterns)):
+        order, now, loose, cost = [start], patterns[start], 0, patterns[start].rows
+        left = [i for i in range(len(patterns)) if i != start]
+        while left:
+            near = [i for i in left if now.variables & patterns[i].variables] or left
+            ranked = [(not keyed, after.rows, i, after) for i in near for keyed, after in [_joined(now, patterns[i])]]
+            unkeyed, rows, i, now = min(ranked, key=lambda x: x[:3])
+            loose, cost = loose + unkeyed, cost + rows
+            order.append(i)
+            left.remove(i)
+        if best is None or (loose, cost) < best[0]:
+            best = (loose, cost), order
+    return best[1] if best else []
 
 
 def match(catalog: Catalog, patterns: list[TuplePattern], streaming: bool = False) -> Matched:
@@ -79,9 +122,13 @@ def match(catalog: Catalog, patterns: list[TuplePattern], streaming: bool = Fals
     seqs: list[str] = []
     arrivals: list[str] = []
     expiries: list[str] = []
-    for i, pattern in enumerate(join_order(list(dict.fromkeys(patterns)))):
-        relation, own = catalog.resolve(pattern)
-        part = scan(relation, own, streaming)
+    patterns = list(dict.fromkeys(patterns))
+    found = [catalog.resolve(p) for p in patterns] if streaming else catalog.merged(patterns)
+    parts = [scan(relation, own, streaming) for relation, own in found]
+    rows = [estimated_rows(part) if len(parts) > 1 else 1.0 for part in parts]
+    spans = [relation.span for relation, _ in found]
+    for i in join_order([sized(relation, own, n) for (relation, own), n in zip(found, rows, strict=True)]):
+        (relation, own), part = found[i], parts[i]
         for c, group in ((SEQ, seqs), (ARRIVAL, arrivals), (EXPIRES, expiries)):
             if c in part.columns:
                 part = part.withColumnRenamed(c, f"{c}_{i}")
@@ -92,7 +139,22 @@ def match(catalog: Catalog, patterns: list[TuplePattern], streaming: bool = Fals
         shared = [v for v in own.variables if df is not None and v in df.columns]
         if df is not None and not shared:
             raise IncompatibleQueryError("the patterns are not connected by variables")
-        df = part if df is None else df.join(part, shared)
+        if df is None:
+            df = part
+            continue
+        near = [(a, f"{ARRIVAL}_{i}") for a in arrivals if streaming and f"{ARRIVAL}_{i}" in part.columns and a in df.columns and all(spans)]
+        if near:
+            # On streams, tuples farther apart than the longest life need not be remembered.
+            part = part.select([F.col(f"`{c}`").alias(f"__right_{c}" if c in shared else c) for c in part.columns])
+            on = F.lit(True)
+            for v in shared:
+                on = on & (F.col(f"`{v}`") == F.col(f"`__right_{v}`"))
+            life = F.expr(f"interval {max(spans)} seconds")
+            for a, b in near:
+                on = on & (F.col(b) <= F.col(a) + life) & (F.col(a) <= F.col(b) + life)
+            df = df.join(part, on).drop(*[f"__right_{v}" for v in shared])
+        else:
+            df = df.join(part, shared)
     made: dict[str, Column] = {}
     at = [F.col(c) for c in arrivals]
     ends = [F.col(c) for c in expiries]

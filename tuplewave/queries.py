@@ -33,6 +33,9 @@ PREDICATES = {
     "did": ("events", "user_id", "event_type"), "eventTime": ("events", "event_id", "ts"), "eventUser": ("events", "event_id", "user_id"), "eventType": ("events", "event_id", "event_type"),
 }
 
+#: What no two rows of a table share; line items have a key of more columns than any predicate reads.
+KEYS = {"orders": ("o_orderkey",), "customer": ("c_custkey",), "nation": ("n_nationkey",), "region": ("r_regionkey",), "supplier": ("s_suppkey",), "part": ("p_partkey",), "events": ("event_id",)}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,7 +46,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     out = Catalog()
     for name in sorted({t for t, _, _ in PREDICATES.values()}):
         df = table(spark, sf_dir, name)
-        out.add(name, Relation(df, tuple(df.columns)))
+        out.add(name, Relation(df, tuple(df.columns), key=KEYS.get(name)))
     for predicate, (name, s, o) in PREDICATES.items():
         out.predicate(T.iri(NS + predicate), name, s, o)
     return out
