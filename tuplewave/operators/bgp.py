@@ -125,7 +125,7 @@ def match(catalog: Catalog, patterns: list[TuplePattern], streaming: bool = Fals
     patterns = list(dict.fromkeys(patterns))
     found = [catalog.resolve(p) for p in patterns] if streaming else catalog.merged(patterns)
     parts = [scan(relation, own, streaming) for relation, own in found]
-    rows = [estimated_rows(part) if len(parts) > 1 else 1.0 for part in parts]
+    rows = [1.0 if streaming or len(parts) == 1 else estimated_rows(part) for part in parts]
     spans = [relation.span for relation, _ in found]
     for i in join_order([sized(relation, own, n) for (relation, own), n in zip(found, rows, strict=True)]):
         (relation, own), part = found[i], parts[i]
