@@ -34,7 +34,6 @@ def scratch_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "tuplewave-scratch")
-        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
