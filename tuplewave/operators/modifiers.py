@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 REDUCED_CAPACITY = 1000
 
@@ -28,26 +24,6 @@ class SeenSet:
         return True
 
 
-def reduced(df: DataFrame, columns: list[str], order: list[Column], capacity: int = REDUCED_CAPACITY) -> DataFrame:
-    """Between the distinct and all solutions, as REDUCED allows, in bounded memory.
-
-    Ranges of the emission order are handled side by side, each with a seen-set of its own; with one range this is
-    exactly the sequential automaton.
-    """
-    SeenSet(capacity)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = SeenSet(capacity)
-        for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True) if batch.num_columns else [()] * batch.num_rows
-            keep = pa.array([seen.first(r) for r in rows], pa.bool_())
-            yield batch.filter(keep)
-
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-    out = ranged.select(*columns)
-    return out.mapInArrow(run, out.schema)
-
-
 def sliced(df: DataFrame, columns: list[str], order: list[Column], offset: int, limit: int | None) -> DataFrame:
     """OFFSET, then LIMIT, of the emission order: a bounded top-n where there is a limit."""
     if limit is None and not offset:

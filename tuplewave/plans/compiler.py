@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import Value, condition, typed
 from ..operators.bgp import ARRIVAL, EXPIRES, SEQ, Matched, solve
-from ..operators.modifiers import REDUCED_CAPACITY, reduced, sliced
+from ..operators.modifiers import sliced
 from ..sources.relations import Catalog
 from .algebra import Const, GraphPattern, IncompatibleQueryError, Query, Var
 from .sparql import parse
@@ -51,13 +51,14 @@ def _connect(parts: list[Matched], filters: list) -> Matched:
     return done
 
 
-def compile_query(query: Query | str, catalog: Catalog, strict: bool = True, capacity: int = REDUCED_CAPACITY, deadline: object = None, after: object = None, streaming: bool = False, meta: bool = False) -> DataFrame:
+def compile_query(query: Query | str, catalog: Catalog, strict: bool = True, deadline: object = None, after: object = None, streaming: bool = False, meta: bool = False) -> DataFrame:
     """The answers of a query.
 
     Batch answers are ordered for LIMIT and OFFSET by arrival, ties by bindings. ``deadline`` keeps answers that complete
     by that time (a query's own lifetime), ``after`` those that complete after that arrival number. ``meta`` adds
-    ``emitted_at`` and ``expires_at`` where the relations have them. On streams there is no REDUCED, OFFSET or LIMIT
-    here: their counters belong to the subscription. ASK gives one row with the column ``answer``, or none.
+    ``emitted_at`` and ``expires_at`` where the relations have them. REDUCED, and so CONSTRUCT, removes all repeats, which it
+    permits and which combines before the shuffle. On streams there is no REDUCED, OFFSET or LIMIT here: their
+    counters belong to the subscription. ASK gives one row with the column ``answer``, or none.
     """
     if isinstance(query, str):
         query = parse(query, strict)
@@ -81,12 +82,13 @@ def compile_query(query: Query | str, catalog: Catalog, strict: bool = True, cap
     rest = [v for v in sorted(kinds)]
     names = [n for n, _ in outputs]
     shown = [(F.col(f"`{s.name}`") if isinstance(s, Var) else F.lit(s.value)).alias(n) for n, s in outputs]
-    inner = [F.col(f"`{v}`").alias(f"__by_{i}") for i, v in enumerate(rest)] if not query.distinct else []
+    once = query.distinct or (query.reduced and not meta and not streaming)
+    inner = [F.col(f"`{v}`").alias(f"__by_{i}") for i, v in enumerate(rest)] if not once else []
     df = df.select(*shown, *inner, *[F.col(c) for c in extra])
     order = [F.col(SEQ)] * (SEQ in extra) + [F.col(c) for c in df.columns if c.startswith("__by_")]
     if query.form == "ASK":
         return df.limit(1).select(F.lit(True).alias("answer"))
-    if query.distinct:
+    if once:
         if streaming:
             df = df.dropDuplicates(names)
         else:
@@ -98,16 +100,4 @@ def compile_query(query: Query | str, catalog: Catalog, strict: bool = True, cap
     tail = [F.col(ARRIVAL).alias("emitted_at")] * (meta and ARRIVAL in extra) + [F.col(EXPIRES).alias("expires_at")] * (meta and EXPIRES in extra)
     if streaming:
         return df.select(*names, *tail)
-    if query.reduced and not meta:
-        if query.limit is None and not query.offset:
-            return reduced(df, names, order, capacity)
-        df = reduced(df.select(*names), names, [], capacity) if not order else reduced_ordered(df, names, order, capacity)
-        return sliced(df, names, [F.col("__rank")] if "__rank" in df.columns else [], query.offset, query.limit)
     return sliced(df, [*names, *tail], order, query.offset, query.limit)
-
-
-def reduced_ordered(df: DataFrame, names: list[str], order: list, capacity: int) -> DataFrame:
-    """REDUCED that keeps the emission order for a following slice."""
-    keyed = df.select(*names, F.struct(*order).alias("__rank"))
-    first = keyed.groupBy(*[F.col(f"`{n}`") for n in names]).agg(F.min("__rank").alias("__rank"))
-    return first  # the distinct solutions, which REDUCED permits

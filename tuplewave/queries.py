@@ -15,8 +15,11 @@ from .functions import terms as T
 from .operators.lifetime import retract
 from .plans.algebra import Const, GraphPattern, Query, TuplePattern, Var
 from .plans.compiler import compile_query
+from .sources.linked_data import table_resolver
+from .sources.rdf import BAD_IRI, parse_lines, read_triples, to_ntriples
 from .sources.relations import Catalog, Relation, replay
-from .streaming.engine import stream_answers
+from .streaming.engine import INFINITE_TTL, StreamEngine, stream_answers
+from .streaming.state import shared_folder
 
 NS = "http://example.org/"
 PREFIX = f"PREFIX : <{NS}> PREFIX xsd: <{T.XSD}> "
@@ -109,12 +112,14 @@ def _tuples(name: str, terms: list, columns: list[str] | None = None, **options)
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> Catalog:
-    """A small directed graph: customers of one segment and nation, each to the next key modulo 40."""
-    df = table(spark, sf_dir, "customer").selectExpr("c_custkey % 40 as a", "'knows' as p", "(c_custkey * 7 + c_nationkey) % 40 as b").distinct()
-    return Catalog().add("edges", Relation(df, ("a", "p", "b")))
+    """A directed graph over all customers, who each know two others: it grows with the table, and so do its paths."""
+    df = table(spark, sf_dir, "customer")
+    n = max(df.count(), 1)
+    first, second = (df.selectExpr("c_custkey as a", "'knows' as p", f"(c_custkey * {k} + c_nationkey) % {n} as b") for k in (7, 3))
+    return Catalog().add("edges", Relation(first.union(second), ("a", "p", "b")))
 
 
-_EDGES = "WITH e AS (SELECT DISTINCT c_custkey % 40 AS a, (c_custkey * 7 + c_nationkey) % 40 AS b FROM customer) "
+_EDGES = "WITH e AS (SELECT c_custkey AS a, (c_custkey * 7 + c_nationkey) % (SELECT count(*) FROM customer) AS b FROM customer UNION SELECT c_custkey, (c_custkey * 3 + c_nationkey) % (SELECT count(*) FROM customer) FROM customer) "
 
 
 def _path(*ends: tuple[str, str]) -> Callable[[SparkSession, str], DataFrame]:
@@ -180,23 +185,107 @@ _PAIR = f"WITH {_EV} SELECT a.user_id AS u, a.event_id AS a, b.event_id AS b, gr
 # ---- Structured Streaming over the triple view
 
 
-def _streamed(text: str) -> Callable[[SparkSession, str], DataFrame]:
+def _run_stream(spark: SparkSession, sf_dir: str, query: str, parts: list[DataFrame], static: DataFrame | None = None) -> DataFrame:
+    """The answers to a stream of files that hold ``parts`` one after the other."""
+    place = shared_folder(spark, "tuplewave-streams")
+    for part in parts:
+        part.write.mode("append").parquet(f"{place}/in")
+    stream = spark.readStream.schema("s string, p string, o string").parquet(f"{place}/in")
+    answers = stream_answers(PREFIX + query, stream, static=static)
+    done = answers.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    done.awaitTermination()
+    return spark.read.schema(answers.schema).parquet(f"{place}/out")
+
+
+def _streamed(text: str, repeats: int = 1) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        import uuid
+        ship(spark)
+        return _run_stream(spark, sf_dir, text, [triple_view(spark, sf_dir)] * repeats)
+
+    return run
+
+
+def stream_static(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' nations as a stream, nations and regions as static tuples."""
+    ship(spark)
+    view = triple_view(spark, sf_dir)
+    moving = F.col("p") == f"U{NS}inNation"
+    return _run_stream(spark, sf_dir, "SELECT ?c ?r WHERE { ?c :inNation ?n . ?n :inRegion ?r }", [view.where(moving)], view.where(~moving))
+
+
+def stream_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many answers a limited stream gives; which ones is open."""
+    return _streamed("SELECT ?c WHERE { ?c :segment ?o } LIMIT 25")(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- sources and sinks
+
+
+def _lines(df: DataFrame, end: str = "") -> DataFrame:
+    return to_ntriples(df).select(F.regexp_replace("value", r" \.$", f"{end} .").alias("value"))
+
+
+def _read_back(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The view of triples written as text and read again: as N-Triples, as N-Quads, or among lines that are none."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tuplewave-stream"
-        place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-        triple_view(spark, sf_dir).write.parquet(f"{place}/in")
-        stream = spark.readStream.schema("s string, p string, o string").parquet(f"{place}/in")
-        answers = stream_answers(PREFIX + text, stream)
-        done = answers.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
-        done.awaitTermination()
-        return spark.read.schema(answers.schema).parquet(f"{place}/out")
+        place = f"{shared_folder(spark, 'tuplewave-files')}/view.{'nq' if name == 'nq' else 'nt'}"
+        lines = _lines(triple_view(spark, sf_dir), f" <{NS}graph>" if name == "nq" else "")
+        if name == "bad":
+            lines = lines.union(lines.select(F.concat(F.lit("broken "), F.col("value")).alias("value"))).union(spark.createDataFrame([("# a comment",), ("",)], "value string"))
+        lines.write.text(place)
+        return read_triples(spark, place)
 
     return run
 
 
+def read_turtle_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation as a small Turtle file of its own, among one that is not Turtle and is left out."""
+    ship(spark)
+    text = F.concat(F.lit(f"@prefix : <{NS}> . <{NS}nation/"), F.col("n_nationkey").cast("string"), F.lit('> :name "'), F.col("n_name"), F.lit(f'" ; :inRegion <{NS}region/'), F.col("n_regionkey").cast("string"), F.lit("> ."))
+    place = f"{shared_folder(spark, 'tuplewave-files')}/nations"
+    files = table(spark, sf_dir, "nation").select(text.alias("value")).union(spark.createDataFrame([("not [ Turtle",)], "value string"))
+    files.repartition(max(files.count(), 1)).sortWithinPartitions("value").write.option("maxRecordsPerFile", 1).text(f"{place}.ttl")
+    return read_triples(spark, f"{place}.ttl")
+
+
+def bad_iri(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of nations as relative IRIs, which are replaced."""
+    ship(spark)
+    lines = table(spark, sf_dir, "nation").select(F.concat(F.lit("<"), F.col("n_name"), F.lit(f"> <{NS}name> <{NS}nation/"), F.col("n_nationkey").cast("string"), F.lit("> .")).alias("value"))
+    return parse_lines(lines).select("s", "p", "o")
+
+
+def write_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return to_ntriples(triple_view(spark, sf_dir)).select(F.col("value").alias("line"))
+
+
+def pushed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that an engine hands to a callback: nations pushed first, then regions' names, as two batches."""
+    ship(spark)
+    engine, got = StreamEngine(spark), []
+    engine.add_query(INFINITE_TTL, PREFIX + "SELECT ?n ?name WHERE { ?n :inRegion ?r . ?r :name ?name }", lambda answer, _: got.append((answer["n"], answer["name"])))
+    small = triple_view(spark, sf_dir).where(F.col("s").rlike("/(nation|region)/"))
+    engine.add_frame(INFINITE_TTL, small.where(F.col("p") == f"U{NS}inRegion"))
+    engine.add_frame(INFINITE_TTL, small.where(F.col("p") == f"U{NS}name"))
+    engine.shut_down()
+    return spark.createDataFrame(got, "n string, name string")
+
+
+def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations are pushed, and what they link to is fetched from a table of documents, one for each region."""
+    ship(spark)
+    view = triple_view(spark, sf_dir)
+    documents = view.where(F.col("s").contains("/region/")).select(F.substr("s", F.lit(2)).alias("document"), "s", "p", "o")
+    engine, got = StreamEngine(spark, resolver=table_resolver(documents)), []
+    engine.add_query(INFINITE_TTL, PREFIX + "SELECT ?n ?name WHERE { ?n :inRegion ?r . ?r :name ?name }", lambda answer, _: got.append((answer["n"], answer["name"])))
+    engine.add_frame(INFINITE_TTL, view.where(F.col("p") == f"U{NS}inRegion"))
+    engine.shut_down()
+    return spark.createDataFrame(got, "n string, name string")
+
+
 _ORDERED = "SELECT {} FROM (SELECT *, (epoch_us(o_orderdate), o_orderkey) AS k FROM orders) "
 
 
@@ -249,15 +338,15 @@ REGISTERED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None
     "unselected_vars": (sparql("SELECT ?n WHERE { ?c :customerNation ?n . ?c :balance ?b }"), "SELECT c_nationkey AS n FROM customer"),
     "select_star": (sparql("SELECT * WHERE { ?n :nationName ?name . ?n :nationRegion ?r }"), "SELECT n_nationkey AS n, n_name AS name, n_regionkey AS r FROM nation"),
     "distinct": (sparql("SELECT DISTINCT ?n ?seg WHERE { ?c :customerNation ?n . ?c :segment ?seg }"), "SELECT DISTINCT c_nationkey AS n, c_mktsegment AS seg FROM customer"),
-    "reduced": (sparql("SELECT REDUCED ?seg WHERE { ?c :segment ?seg }", capacity=2), None),
+    "reduced": (sparql("SELECT REDUCED ?seg WHERE { ?c :segment ?seg }"), "SELECT DISTINCT c_mktsegment AS seg FROM customer"),
     "limit_by_arrival": (_by_arrival("SELECT ?o ?s WHERE { ?o :status ?s } LIMIT 25"), _ORDERED.format("o_orderkey AS o, o_orderstatus AS s") + "ORDER BY k LIMIT 25"),
     "limit_offset": (_by_arrival('SELECT ?o ?c WHERE { ?o :status "O" . ?o :placedBy ?c } LIMIT 20 OFFSET 30'), _ORDERED.format("o_orderkey AS o, o_custkey AS c") + "WHERE o_orderstatus = 'O' ORDER BY k LIMIT 20 OFFSET 30"),
     "offset_by_arrival": (_by_arrival('SELECT ?o WHERE { ?o :status "P" } OFFSET 10'), _ORDERED.format("o_orderkey AS o") + "WHERE o_orderstatus = 'P' ORDER BY k OFFSET 10"),
     "ask_true": (sparql('ASK { ?c :segment "BUILDING" }'), "SELECT true AS answer FROM customer WHERE c_mktsegment = 'BUILDING' LIMIT 1"),
     "ask_false": (sparql('ASK { ?c :segment "NONE" }'), "SELECT true AS answer FROM customer WHERE c_mktsegment = 'NONE' LIMIT 1"),
-    "construct": (triples("CONSTRUCT { ?c :livesIn ?r } WHERE { ?c :inNation ?n . ?n :inRegion ?r }", capacity=1 << 40), _T + f"SELECT a.s AS subject, 'U{NS}livesIn' AS predicate, b.o AS object FROM t a JOIN t b ON a.o = b.s WHERE a.p = 'U{NS}inNation' AND b.p = 'U{NS}inRegion'"),
+    "construct": (triples("CONSTRUCT { ?c :livesIn ?r } WHERE { ?c :inNation ?n . ?n :inRegion ?r }"), _T + f"SELECT DISTINCT a.s AS subject, 'U{NS}livesIn' AS predicate, b.o AS object FROM t a JOIN t b ON a.o = b.s WHERE a.p = 'U{NS}inNation' AND b.p = 'U{NS}inRegion'"),
     "filter_regex": (_filter(_NAME, 'regex(?v, "a.*e", "i")'), _N("regexp_matches(p_name, '(?i)a.*e')")),
-    "filter_starts": (_filter(_NAME, 'strstarts(?v, "p") || strends(?v, "1")'), _N("starts_with(p_name, 'p') OR suffix(p_name, '1')")),
+    "filter_starts": (_filter(_NAME, 'strstarts(?v, "b") || strends(?v, "ng")'), _N("starts_with(p_name, 'b') OR suffix(p_name, 'ng')")),
     "filter_contains": (_filter(_NAME, 'contains(lcase(?v), "re")'), _N("contains(lower(p_name), 're')")),
     "filter_strlen": (_filter(_NAME, "strlen(?v) > 9"), _N("length(p_name) > 9")),
     "filter_substr": (_filter(_NAME, 'substr(?v, 2, 1) = "a"'), _N("substr(p_name, 2, 1) = 'a'")),
@@ -265,9 +354,9 @@ REGISTERED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None
     "filter_replace": (_filter(_NAME, 'strlen(replace(?v, "[aeiou]", "")) < 6'), _N("length(regexp_replace(p_name, '[aeiou]', '', 'g')) < 6")),
     "filter_strbefore": (_filter(_NAME, 'strbefore(?v, " ") != ""'), _N("contains(p_name, ' ') AND split_part(p_name, ' ', 1) <> ''")),
     "filter_strafter": (_filter(_NAME, 'strlen(strafter(?v, "a")) > 4'), _N("contains(p_name, 'a') AND length(substr(p_name, instr(p_name, 'a') + 1)) > 4")),
-    "filter_concat": (_filter(_NAME, 'strstarts(concat(?v, "-", ?v), "p")'), _N("starts_with(p_name || '-' || p_name, 'p')")),
-    "filter_numeric": (_filter(_PRICE, "?v >= 1200 && ?v < 1500"), _P("p_retailprice >= 1200 AND p_retailprice < 1500")),
-    "filter_ceil": (_filter(_PRICE, "ceil(?v) = 1000 || floor(?v) = 1100"), _P("ceil(p_retailprice) = 1000 OR floor(p_retailprice) = 1100")),
+    "filter_concat": (_filter(_NAME, 'contains(concat(?v, "-", ?v), "t-b") || strstarts(concat("x", ?v), "xs")'), _N("contains(p_name || '-' || p_name, 't-b') OR starts_with('x' || p_name, 'xs')")),
+    "filter_numeric": (_filter(_PRICE, "?v >= 920 && ?v < 950.5"), _P("p_retailprice >= 920 AND p_retailprice < 950.5")),
+    "filter_ceil": (_filter(_PRICE, "ceil(?v) = 1000 || floor(?v) = 911"), _P("ceil(p_retailprice) = 1000 OR floor(p_retailprice) = 911")),
     "filter_round": (_filter(_BAL, "round(?v / 100) = 12"), _B("floor(c_acctbal / 100 + 0.5) = 12")),
     "filter_abs": (_filter(_BAL, "abs(?v) < 500"), _B("abs(c_acctbal) < 500")),
     "filter_arith": (_filter(_BAL, "(?v + 10) * 2 - 5 > 9000"), _B("(c_acctbal + 10) * 2 - 5 > 9000")),
@@ -286,6 +375,29 @@ REGISTERED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None
     "filter_sameterm": (triples("SELECT ?a ?b WHERE { ?a :inRegion ?r . ?b :inRegion ?r FILTER (!sameTerm(?a, ?b)) }"), _T + f"SELECT a.s AS a, b.s AS b FROM t a JOIN t b ON a.o = b.o AND a.p = b.p WHERE a.p = 'U{NS}inRegion' AND a.s <> b.s"),
     "filter_theta": (sparql("SELECT ?a ?b WHERE { ?a :nationRegion ?r . ?b :nationRegion ?r . ?a :nationName ?x . ?b :nationName ?y FILTER (?x < ?y) }"), "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b USING (n_regionkey) WHERE a.n_name < b.n_name"),
     "filter_error": (triples("SELECT ?s ?o WHERE { ?s ?p ?o FILTER (?o > 5) }"), _T + f"SELECT s, o FROM t WHERE p = 'U{NS}key' AND split_part(o, chr(1), 3)::BIGINT > 5"),
+    "filter_seconds": (_filter("?x :eventTime ?v", "seconds(?v) < 10 && tz(?v) = ''"), _sql("events", "event_id", "ts", "second(ts) < 10")),
+    "filter_bound": (_filter(_BAL, 'bound(?v) && coalesce(?none, ?v) > 9000'), _B("c_acctbal > 9000")),
+    "filter_isblank": (triples("SELECT ?s ?o WHERE { ?s :inRegion ?o FILTER (!isBlank(?o) && isBlank(bnode()) && isBlank(bnode(str(?o)))) }"), _T + f"SELECT s, o FROM t WHERE p = 'U{NS}inRegion'"),
+    "filter_iri": (triples(f'SELECT ?s ?o WHERE {{ ?s :inRegion ?o FILTER (?o = iri(concat("{NS}region/", "1")) && isIRI(uri(str(?o)))) }}'), _T + f"SELECT s, o FROM t WHERE p = 'U{NS}inRegion' AND o = 'U{NS}region/1'"),
+    "filter_strdt": (triples('SELECT ?s ?o WHERE { ?s :key ?o FILTER (strdt(str(?o), xsd:integer) = ?o && datatype(strdt("5", xsd:byte)) = xsd:byte && ?o < 30) }'), _T + f"SELECT s, o FROM t WHERE p = 'U{NS}key' AND split_part(o, chr(1), 3)::BIGINT < 30"),
+    "filter_strlang": (triples('SELECT ?s ?o WHERE { ?s :segment ?o FILTER (?o = strlang("MACHINERY", "en")) }'), _T + f"SELECT s, o FROM t WHERE p = 'U{NS}segment' AND o LIKE '%MACHINERY'"),
+    "filter_language_kept": (triples('SELECT ?s ?o WHERE { ?s :segment ?o FILTER (lang(lcase(?o)) = "en" && lcase(?o) = "building"@en && substr(?o, 1, 3) = "BUI"@en) }'), _T + f"SELECT s, o FROM t WHERE p = 'U{NS}segment' AND o LIKE '%BUILDING'"),
+    "filter_uuid": (_filter(_BAL, 'isIRI(uuid()) && strlen(struuid()) = 36 && uuid() != uuid() && ?v > 5000'), _B("c_acctbal > 5000")),
+    "filter_encode": (_filter(_NAME, 'contains(encode_for_uri(?v), "%20b")'), _N("contains(p_name, ' b')")),
+    "filter_rand_now": (_filter(_BAL, "rand() >= 0 && rand() < 1 && year(now()) > 2000 && ?v < 0"), _B("c_acctbal < 0")),
+    "filter_sha512": (_filter("?x :nationName ?v", 'strlen(sha512(?v)) = 128 && strlen(sha384(?v)) = 96 && sha384(?v) != sha512(?v)'), _sql("nation", "n_nationkey", "n_name", "true")),
+    "filter_cast_number": (triples("SELECT ?s ?o WHERE { ?s :key ?o FILTER (xsd:integer(?o) = 12 || xsd:decimal(str(?o)) = 13.0 || xsd:double(?o) = 1.4e1 || xsd:float(?o) = 15) }"), _T + f"SELECT s, o FROM t WHERE p = 'U{NS}key' AND split_part(o, chr(1), 3)::BIGINT BETWEEN 12 AND 15"),
+    "filter_cast_other": (triples('SELECT ?s ?o WHERE { ?s :key ?o FILTER (xsd:string(?o) = "17" || (xsd:boolean(?o) = false && ?o < 5) || xsd:dateTime(concat("2020-01-0", str(?o), "T00:00:00Z")) > "2020-01-07T00:00:00Z"^^xsd:dateTime) }'), _T + f"SELECT s, o FROM t WHERE p = 'U{NS}key' AND split_part(o, chr(1), 3)::BIGINT IN (0, 8, 9, 17)"),
+    "filter_exact": (triples("SELECT ?s ?o WHERE { ?s :key ?o FILTER (?o * 0 = 0 && 9007199254740993 != 9007199254740992 && datatype(7 / 2) = xsd:decimal && 0.1 + 0.2 = 0.3 && ?o <= 40) }"), _T + f"SELECT s, o FROM t WHERE p = 'U{NS}key' AND split_part(o, chr(1), 3)::BIGINT <= 40"),
+    "source_ntriples": (_read_back("nt"), _T + "SELECT * FROM t"),
+    "source_nquads": (_read_back("nq"), _T + "SELECT * FROM t"),
+    "source_bad_lines": (_read_back("bad"), _T + "SELECT * FROM t"),
+    "source_turtle": (read_turtle_file, _T + "SELECT * FROM t WHERE s LIKE '%/nation/%'"),
+    "source_bad_iri": (bad_iri, f"SELECT 'U{BAD_IRI}' AS s, 'U{NS}name' AS p, 'U{NS}nation/' || n_nationkey AS o FROM nation"),
+    "source_linked": (linked, _T + f"SELECT a.s AS n, b.o AS name FROM t a JOIN t b ON a.o = b.s WHERE a.p = 'U{NS}inRegion' AND b.p = 'U{NS}name'"),
+    "sink_callback": (pushed, _T + f"SELECT a.s AS n, b.o AS name FROM t a JOIN t b ON a.o = b.s WHERE a.p = 'U{NS}inRegion' AND b.p = 'U{NS}name'"),
+    "sink_ntriples": (write_lines, _T + """, w AS (SELECT s, p, o, split_part(substr(o, 2), chr(1), 1) AS d, split_part(o, chr(1), 2) AS l, split_part(o, chr(1), 3) AS x FROM t)
+SELECT '<' || substr(s, 2) || '> <' || substr(p, 2) || '> ' || CASE WHEN o LIKE 'U%' THEN '<' || substr(o, 2) || '>' WHEN l <> '' THEN '"' || x || '"@' || l WHEN d LIKE '%#string' THEN '"' || x || '"' ELSE '"' || x || '"^^<' || d || '>' END || ' .' AS line FROM w"""),
     "ttl_join_finite": (ttl_join, _PAIR),
     "ttl_join_static": (ttl_static, f"WITH q AS ({_PAIR}) SELECT u, a, b, c_mktsegment AS segment FROM q JOIN customer ON u = c_custkey"),
     "ttl_supersede": (ttl_supersede, """WITH d AS (SELECT DISTINCT user_id, event_type, ts FROM events WHERE event_type IN ('signup', 'error')),
@@ -296,6 +408,9 @@ SELECT p.user_id AS u, greatest(p.a, q.a) AS emitted_at, least(p.x, q.x) AS expi
     "query_deadline": (query_deadline, f"WITH q AS ({_PAIR}) SELECT u, a, b FROM q WHERE emitted_at <= TIMESTAMP '2024-01-10 00:00:00'"),
     "retract_pattern": (retract_pattern, "SELECT user_id AS u, event_type AS t, event_id AS e FROM events WHERE user_id <> 7 AND event_type <> 'error'"),
     "stream_join": (_streamed("SELECT ?c ?r WHERE { ?c :inNation ?n . ?n :inRegion ?r }"), _T + f"SELECT a.s AS c, b.o AS r FROM t a JOIN t b ON a.o = b.s WHERE a.p = 'U{NS}inNation' AND b.p = 'U{NS}inRegion'"),
+    "stream_static": (stream_static, _T + f"SELECT a.s AS c, b.o AS r FROM t a JOIN t b ON a.o = b.s WHERE a.p = 'U{NS}inNation' AND b.p = 'U{NS}inRegion'"),
+    "stream_duplicates": (_streamed("SELECT ?c ?r WHERE { ?c :inNation ?n . ?n :inRegion ?r }", repeats=2), _T + f"SELECT a.s AS c, b.o AS r FROM t a JOIN t b ON a.o = b.s WHERE a.p = 'U{NS}inNation' AND b.p = 'U{NS}inRegion'"),
+    "stream_limit": (stream_limit, "SELECT count(*) AS n FROM (SELECT * FROM customer LIMIT 25)"),
     "stream_distinct": (_streamed("SELECT DISTINCT ?o WHERE { ?c :segment ?o }"), _T + f"SELECT DISTINCT o FROM t WHERE p = 'U{NS}segment'"),
 }
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
-from ..plans.algebra import Const, InvalidQueryError, Var
+from ..plans.algebra import Const, IncompatibleQueryError, InvalidQueryError, Var
 from ..plans.sparql import Parser
 
 #: Fixed value: what stands for an IRI that is not one.
@@ -103,12 +103,22 @@ def parse_turtle(text: str) -> list[tuple[str, str, str]]:
 
 
 def read_turtle(spark: SparkSession, path: str) -> DataFrame:
-    """Small Turtle files: the format has no line structure, so each file is parsed as a whole, one file for a row."""
+    """Small Turtle files: the format has no line structure, so each file is parsed as a whole, one file for a row.
+
+    A file that is not Turtle is logged by its task and left out; the others are read.
+    """
     def run(rows):
+        import logging
+
         import pyarrow as pa
 
         for batch in rows:
-            found = [t for text in batch.column(0).to_pylist() for t in parse_turtle(text)]
+            found = []
+            for text in batch.column(0).to_pylist():
+                try:
+                    found += parse_turtle(text)
+                except (InvalidQueryError, IncompatibleQueryError) as error:
+                    logging.getLogger(__name__).warning("a file is not Turtle: %s; it begins %r", error, text[:60])
             yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in found], pa.string()) for i in range(3)], names=["s", "p", "o"])
 
     return spark.read.text(path, wholetext=True).mapInArrow(run, "s string, p string, o string")
