@@ -449,6 +449,37 @@ def test_url_filter_hides_what_the_list_names(spark):
     assert {r["page_id"]: (r["verdict"], r["mined"]) for r in got if r["page_id"] >= 60} == {60: ("block", "path:deal"), 61: ("allow", "path:news"), 62: ("allow", None)}
 
 
+def test_quality_rules_with_repeats_and_clashes(spark):
+    """Repeated rows and null ids are judged one by one; columns named like measured ones are not used; ties change no verdict."""
+    from tuplewave.llm.quality_rules import Rule
+
+    rows = [(1, BASE, 9, True), (1, BASE, 9, True), (None, "x", 9, False), (2, None, None, None), (3, "# " * 400, 0, True), (4, prose(100_000), 1, True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words int, kept boolean")
+    got = sorted(((r["doc_id"] or 0, r["n_words"], r["kept"]) for r in quality_rules(df).collect()))
+    assert got == sorted([(1, 300, True), (1, 300, True), (0, 1, False), (2, 0, False), (3, 400, False), (4, 100_000, got[-1][2])])
+    same = [Rule("a", F.col("n_words") > 1000), Rule("b", F.col("n_words") > 1000)]
+    assert {r["doc_id"]: r["kept"] for r in quality_rules(df.where("doc_id = 4 or doc_id = 1"), rules=same).collect()} == {1: True, 4: False}
+
+
+def test_toxicity_with_repeats_and_clashes(spark):
+    """Repeated rows get one score each and the same; labels that disagree count as toxic; very long words and texts pass."""
+    rows = []
+    for i in range(80):
+        w = prose(40).split()
+        if i % 4 == 0:
+            w[i % 40 : i % 40] = ["idiot", "moron"]
+        rows.append((i, " ".join(w), 0.5, "clash"))
+    rows += [rows[0], rows[1], (500, "x" * 100_000, 0.1, "c"), (501, prose(30_000), 0.1, "c"), (None, "you idiot", None, None)]
+    labels = [(i, int(i % 4 == 0)) for i in range(80)] + [(0, 0), (0, 1), (1, None)]
+    got = toxicity(spark.createDataFrame(rows, "doc_id long, text string, score double, predicted string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append((r["score"], r["predicted"]))
+    assert len(by[0]) == 2 and len(set(by[0])) == len(set(by[1])) == 1
+    assert by[None][0][1] == 1 and by[500][0][1] == 0
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0).cache()
     assert quality_rules(none).count() == pack(none).count() == simhash_components(none).count() == 0
@@ -480,3 +511,30 @@ def test_pipeline(spark, tmp_path):
     assert len(words_of(cut[102])) == 150
     assert 101 not in left[3] and left[3] == set(range(60)) | {102}
     assert {r["doc_id"] for r in P.run(spark, str(tmp_path)).collect()} == left[3]
+
+
+def test_pipeline_with_nulls_repeats_and_empty_tables(spark, tmp_path):
+    """Each stage takes null texts, languages and ids, repeated rows and ids, a clashing column, and tables without rows."""
+    import corpus_pipeline as P
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row_key string"
+    rows = [(i, prose(150), "aa", "s", 1, "k") for i in range(40)]
+    rows += [(3, prose(150), "aa", "s", 1, "k"), (None, prose(150), None, None, None, None), (None, rows[4][1], "aa", "s", 1, None), (50, None, "aa", "s", 0, "k"), (51, "", None, "s", 0, "k"), rows[7]]
+    spark.createDataFrame(rows, schema).repartition(2).write.parquet(f"{tmp_path}/some/documents.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for name, labels, items in (("some", [(i, 1, 0) for i in range(40)] + [(None, 1, None)], [(1, PASSAGE), (None, None)]), ("none", [], [])):
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        sf = f"{tmp_path}/{name}"
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        for k, (_, stage) in enumerate(P.STAGES):
+            stage(spark, docs, sf).write.parquet(f"{sf}/{k}")
+            out = spark.read.parquet(f"{sf}/{k}")
+            assert name == "some" or out.count() == 0
+            if k < len(P.STAGES) - 1:
+                assert out.columns == docs.columns
+                docs = out
+        if name == "some":
+            texts = [r["text"] for r in docs.collect()]
+            assert None not in texts and "" not in texts and len(texts) == len(set(texts)) >= 35
+            assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in docs.collect()}

@@ -18,7 +18,7 @@ from .common import WORD_PATTERN, blank
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 #: Timed runs of a rule on the sample.
-TIMED = 3
+TIMED = 2
 
 
 @dataclass(frozen=True)
