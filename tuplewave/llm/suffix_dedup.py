@@ -32,7 +32,7 @@ from .run_index import RunIndex
 LENGTH = 200
 GRAM = 64
 #: Bytes of text in one index; bytes of different pieces of one minimizer, beyond which it is divided.
-SHARD_BYTES, CROWDED_BYTES = 1 << 20, 1 << 17
+SHARD_BYTES, CROWDED_BYTES = 1 << 20, 1 << 15
 _BLOCK = 1 << 16
 
 
