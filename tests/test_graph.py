@@ -13,7 +13,7 @@ from tuplewave.operators.lifetime import retract
 from tuplewave.operators.modifiers import SeenSet
 from tuplewave.plans.algebra import Const, GraphPattern, IncompatibleQueryError, Query, TuplePattern, Var
 from tuplewave.plans.compiler import compile_query
-from tuplewave.sources.linked_data import frontier, seeds, table_resolver
+from tuplewave.sources.linked_data import frontier, http_resolver, seeds, table_resolver
 from tuplewave.sources.rdf import parse_lines, parse_turtle, read_triples, statements, to_ntriples
 from tuplewave.sources.relations import Catalog, Relation
 from tuplewave.streaming.engine import StreamEngine, stream_answers
@@ -188,8 +188,10 @@ def test_readers(spark, tmp_path):
     good = spark.createDataFrame(ROWS, "s string, p string, o string")
     to_ntriples(good).coalesce(1).write.text(str(tmp_path / "g.nt"))
     assert {tuple(r) for r in read_triples(spark, str(tmp_path / "g.nt")).collect()} == set(ROWS)
-    (tmp_path / "g.ttl").write_text(GRAPH)
-    assert {tuple(r) for r in read_triples(spark, str(tmp_path / "g.ttl")).collect()} == set(ROWS)
+    (tmp_path / "t.ttl").mkdir()
+    (tmp_path / "t.ttl" / "g").write_text(GRAPH)
+    (tmp_path / "t.ttl" / "broken").write_text("this [ is not Turtle")
+    assert {tuple(r) for r in read_triples(spark, str(tmp_path / "t.ttl")).collect()} == set(ROWS)
     assert {T.ntriples(r[2]) for r in ROWS} >= {'"river"', '"Hafen"@de', f"<{E}quay>"}
 
 
@@ -275,6 +277,17 @@ def test_engine_lifetimes_and_links(spark):
     assert frontier(statements(spark, [("Uhttp://x/a", "Up", "Uhttp://x/b"), ("Uhttp://x/c", "Up", "Bz")])).count() == 2
 
 
+def test_http_resolver(spark):
+    """Documents by URL, shared by fragments; what cannot be fetched or parsed gives nothing and stops nothing."""
+    def get(url):
+        if url.endswith("gone"):
+            raise OSError("404")
+        return {"http://x/a": "<#me> <http://p> <b> .", "http://x/b": "not turtle"}[url]
+
+    iris = spark.createDataFrame([("http://x/a#me",), ("http://x/a#you",), ("http://x/b",), ("http://x/gone",)], "iri string")
+    assert [tuple(r) for r in http_resolver(get)(iris).collect()] == [("Uhttp://x/a#me", "Uhttp://p", "Uhttp://x/b")]
+
+
 def streamed(spark, tmp_path, rows, text, name, **options):
     statements(spark, rows).repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("s string, p string, o string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))

@@ -1,13 +1,16 @@
 """Linked Data: statements about resources, fetched when a query or a matched tuple names them.
 
-A resolver maps a frame with the column ``iri`` to ``s``, ``p``, ``o``. ``table_resolver`` answers from a table of documents;
-a resolver that fetches over HTTP has the same form. Only ``http`` and ``https`` IRIs are followed, each once.
+A resolver maps a frame with the column ``iri`` to ``s``, ``p``, ``o``. ``table_resolver`` answers from a table of documents,
+``http_resolver`` fetches Turtle or N-Triples from where the IRIs lead. Only ``http`` and ``https`` IRIs are followed, each
+once; what cannot be fetched or parsed is logged and gives no statements.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import logging
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,42 @@ def table_resolver(documents: DataFrame, key: str = "document") -> Resolver:
     return lambda iris: documents.join(iris, documents[key] == iris["iri"], "left_semi").select("s", "p", "o")
 
 
+#: What is asked for, and the largest document that is taken.
+ACCEPT, LARGEST = "text/turtle, application/n-triples;q=0.9", 64 << 20
+
+
+def fetch(url: str, timeout: float = 20.0) -> str:
+    """The document at ``url`` as text."""
+    from urllib.request import Request, urlopen
+
+    with urlopen(Request(url, headers={"Accept": ACCEPT}), timeout=timeout) as answer:
+        data = answer.read(LARGEST + 1)
+        if len(data) > LARGEST:
+            raise OSError(f"{url} is larger than {LARGEST} bytes")
+        return data.decode(answer.headers.get_content_charset() or "utf-8", "replace")
+
+
+def http_resolver(get: Callable[[str], str] = fetch, parallel: int = 8) -> Resolver:
+    """Fetches side by side in at most ``parallel`` tasks; IRIs that differ in their fragments alone share a document."""
+    from .rdf import parse_turtle
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for url in batch.column(0).to_pylist():
+                try:
+                    found = parse_turtle(get(url), url)  # N-Triples are Turtle
+                except (OSError, ValueError) as error:
+                    logging.getLogger(__name__).warning("%s gives no statements: %s", url, error)
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in found], pa.string()) for i in range(3)], names=["s", "p", "o"])
+
+    def resolve(iris: DataFrame) -> DataFrame:
+        urls = iris.select(F.substring_index("iri", "#", 1).alias("url")).distinct().repartition(parallel, "url")
+        return urls.mapInArrow(run, "s string, p string, o string")
+
+    return resolve
+
+
 def web_iri(term):
     return term.rlike(r"^Uhttps?://")
 

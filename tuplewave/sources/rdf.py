@@ -98,8 +98,10 @@ class _Turtle(Parser):
         return [tuple(map(term, p.terms)) for p in out]
 
 
-def parse_turtle(text: str) -> list[tuple[str, str, str]]:
-    return _Turtle(text).document()
+def parse_turtle(text: str, base: str | None = None) -> list[tuple[str, str, str]]:
+    parser = _Turtle(text)
+    parser.base = base or parser.base
+    return parser.document()
 
 
 def read_turtle(spark: SparkSession, path: str) -> DataFrame:
