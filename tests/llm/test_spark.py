@@ -63,6 +63,15 @@ def test_quality_rules(docs):
     assert got[4]["kept"] and not got[12]["kept"]
 
 
+def test_broadcasts_are_checked_by_bytes(spark):
+    from tuplewave.llm.common import broadcast_if_small
+
+    hinted = lambda df, limit: "ResolvedHint" in broadcast_if_small(df, limit)._jdf.queryExecution().analyzed().toString()
+    rows = spark.createDataFrame([(1, "x" * 500, [1, 2]), (None, None, None)], "a long, b string, c array<int>")
+    assert hinted(rows, 700) and not hinted(rows, 400)
+    assert hinted(rows.limit(0), 0)
+
+
 def check_suffix_dedup(df, rows, length, **options):
     data = {i: (t or "").encode() for i, t in rows}
     counts = Counter(d[k : k + length] for d in data.values() for k in range(len(d) - length + 1))

@@ -17,8 +17,8 @@ from .. import ship
 
 #: Java and RE2 regular expression of one word of the contracts.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: Sides with at most this many rows of a few longs may be broadcast (some tens of MB).
-BROADCAST_ROWS = 1_000_000
+#: Sides with at most this many bytes may be broadcast.
+BROADCAST_BYTES = 48 << 20
 
 #: Bytes of an Arrow batch to Python at most: the JVM and the worker each hold a batch and its copies for every task.
 BATCH_BYTES = 4 << 20
@@ -88,10 +88,14 @@ def drop_table(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if a count proves ``df`` small; larger sides are left to shuffled joins."""
-    few = len(df.limit(1).head(1)) == 0 or df.count() <= limit
-    return F.broadcast(df) if few else df
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only if a count of rows and of the bytes of texts proves ``df`` small; larger sides are left to
+    shuffled joins."""
+    wide = [F.octet_length(f"`{f.name}`") for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    nested = [F.octet_length(F.to_json(F.struct(f"`{f.name}`"))) for f in df.schema if f.dataType.typeName() in ("struct", "array", "map")]
+    width = sum((F.coalesce(c, F.lit(0)) for c in wide + nested), F.lit(8 * len(df.columns) + 16)).cast("long")
+    size = df.agg(F.coalesce(F.sum(width), F.lit(0))).head()[0]
+    return F.broadcast(df) if size <= limit else df
 
 
 def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
