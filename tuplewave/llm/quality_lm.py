@@ -127,6 +127,7 @@ class Model:
     """
 
     def __init__(self, texts: DataFrame) -> None:
+        ready(texts)
         self.shares: dict[int, DataFrame] = {}
         self.weights: dict[int, DataFrame] = {}
         counts = materialize(count_grams(texts.select(F.coalesce("text", F.lit("")).alias("text"))), "lm-counts")
@@ -296,6 +297,7 @@ def verdicts(docs: DataFrame, trusted: DataFrame, key: str, id_col: str = "doc_i
 
     ``trusted`` has the trusted ids in its first column.
     """
+    ready(docs)
     ids = trusted.select(F.col(trusted.columns[0]).alias("trusted_id")).where("trusted_id is not null").distinct()
     ids = materialize(ids.select("trusted_id", (F.pmod(F.xxhash64("trusted_id"), F.lit(HELD_OUT)) == 0).alias("held_out")), "lm-ids")
     learnt = broadcast_if_small(ids.where("not held_out").select("trusted_id"))

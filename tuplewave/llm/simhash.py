@@ -62,6 +62,7 @@ def _fingerprints(texts: list[str | None], shingle: int, seed: int) -> np.ndarra
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """Id and the fingerprint as a signed long."""
+    ready(docs)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,6 +146,7 @@ def _forest_by_lookup(values: np.ndarray, flips: np.ndarray) -> list[tuple[int,
 
 def links(distinct: DataFrame, distance: int = 2, blocks: int | None = None) -> DataFrame:
     """``src``, ``dst``: enough links between fingerprints at ``distance`` or less to connect all that are linked."""
+    ready(distinct)
     masks = segments(distance, blocks or distance)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     variants = [(i, bit, signed(mask & ~(1 << bit))) for i, mask in enumerate(masks) for bit in range(BITS) if mask >> bit & 1]

@@ -174,6 +174,7 @@ def repeated_words(docs: DataFrame, key: str, order: str, text_col: str = "text"
     documents share is never gathered. What is found is written and joined back from there: both sides of such a join
     are plain exchanges, whose large partitions Spark splits while it copies the one row of the other side.
     """
+    ready(docs)
     kind, order_kind = (docs.schema[c].dataType.simpleString() for c in (key, order))
     same = key == order
     o = "key" if same else "ord"

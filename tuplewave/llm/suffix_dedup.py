@@ -194,6 +194,7 @@ def _repeats(rows: DataFrame, length: int, grams: list[int], shard_bytes: int, c
 
 def repeated_strings(docs: DataFrame, key: str, text_col: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES, crowded_bytes: int = CROWDED_BYTES) -> DataFrame:
     """``key``, ``spans``: for each text with repeats an array of ranges [a, b) of bytes to remove (may overlap)."""
+    ready(docs)
     rows = docs.select(F.col(key).alias("key"), F.lit(1).cast("long").alias("copies"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return _repeats(rows, length, gram_sizes(length), shard_bytes, crowded_bytes, []).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 

@@ -346,6 +346,7 @@ def _decisions(docs: DataFrame, scorer: Scorer, extra: list[str], out: str) -> D
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> Scorer:
     """``labels`` are those to learn from. The sample is the ``sample_docs`` documents of each class with the smallest hash."""
+    ready(docs)
     known = labels.select(F.col(label_id).alias("label_id"), F.col(label).cast("int").alias("y")).where("label_id is not null and y in (0, 1)")
     known = known.groupBy("label_id").agg(F.max("y").alias("y"))
     own = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(sample_docs)
