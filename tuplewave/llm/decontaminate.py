@@ -276,19 +276,26 @@ class Items:
             marks = self.grams[hashes]
             hit = np.concatenate(([0], np.cumsum(marks != 0, dtype=np.int32)))
             marks = marks[marks != 0]
-            begin = np.minimum(begins, len(hit) - 1)
             # q-grams over a text's end belong to no window; they can only add hits.
+            long = [(window, need) for _, window, need in self.classes if need > 0]
+            begin = np.minimum(begins, len(hit) - 1).astype(np.int32)
+            ends = np.minimum(doc_ends, len(hit) - 1).astype(np.int32)
+            # First those that have enough for some class in the widest window.
+            widest, fewest = max((w for w, _ in long), default=0), min((n for _, n in long), default=0)
+            some = np.flatnonzero(hit[np.maximum(np.minimum(begin + np.int32(widest), ends), begin)] - hit[begin] >= fewest) if long else np.zeros(0, np.int64)
+            begin, ends = begin[some], ends[some]
+            first = hit[begin]
             for groups, (_, window, need) in zip(self.groups, self.classes, strict=True):
                 if need <= 0:
                     continue
-                stop = np.maximum(np.minimum(np.minimum(begins + window, doc_ends), len(hit) - 1), begin)
-                left = np.flatnonzero(hit[stop] - hit[begin] >= need)
+                last = hit[np.maximum(np.minimum(begin + np.int32(window), ends), begin)]
+                left = np.flatnonzero(last - first >= need)
                 if not len(left):
                     continue
-                lo, hi = hit[begin[left]], hit[stop[left]]
+                lo, hi = first[left], last[left]
                 for g in groups:
                     own = np.concatenate(([0], np.cumsum(marks >> np.uint64(g) & np.uint64(1), dtype=np.int32)))
-                    mask[left[own[hi] - own[lo] >= need]] |= np.uint64(1 << g)
+                    mask[some[left[own[hi] - own[lo] >= need]]] |= np.uint64(1 << g)
         chosen = np.flatnonzero(mask)
         return chosen, mask[chosen]
 
