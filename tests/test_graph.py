@@ -239,12 +239,15 @@ def test_engine_takes_a_batch_once(spark):
     """A micro-batch that is delivered again is not added again; attached streams end with the engine."""
     engine, got = StreamEngine(spark), []
     engine.add_query(0, PREFIX + "SELECT ?y WHERE { :port :to ?y }", lambda a, e: got.append(short(a["y"])))
+    once = []
+    engine.add_query(0, PREFIX + "SELECT DISTINCT ?x WHERE { ?x :to ?y }", lambda a, e: once.append(short(a["x"])))
     batch = statements(spark, [r for r in ROWS if r[1].endswith("/to")])
     assert engine.add_frame(0, batch, batch="s/0")
     assert not engine.add_frame(0, batch, batch="s/0")
-    assert sorted(got) == ["fort", "quay"] and engine.counters.inputs == 2
+    assert sorted(got) == ["fort", "quay"] and engine.counters.inputs == len(LINKS)
     engine.add_inputs(0, [(f"U{E}port", f"U{E}to", f"U{E}end")])
     assert sorted(got) == ["end", "fort", "quay"]
+    assert sorted(once) == sorted({a for a, _ in LINKS})  # each once over all batches
     engine.shut_down()
     assert not engine.subscriptions and not engine.running
 

@@ -49,7 +49,7 @@ class Counters:
 @dataclass
 class Subscription:
     """A registered query. ``expires`` is its own end of life in seconds, ``since`` the number of the last tuple that came
-    too early for it; the modifiers' counters live here."""
+    too early for it; the modifiers' counters live here. ``answered`` names the tables of what a DISTINCT query has given."""
 
     id: str
     query: Query
@@ -61,11 +61,14 @@ class Subscription:
     skipped: int = 0
     delivered: int = 0
     seen: SeenSet | None = None
-    answered: set = field(default_factory=set)
+    answered: list[str] = field(default_factory=list)
 
     def cancel(self) -> None:
         self.active = False
         self.engine.subscriptions.pop(self.id, None)
+        for table in self.answered:
+            self.engine.store.delete(table)
+        self.answered.clear()
 
     def renew(self, ttl: int) -> bool:
         """A new life from now on; false if this has ended."""
@@ -78,16 +81,11 @@ class Subscription:
         return self.expires is not None and self.engine.clock() > self.expires
 
     def offer(self, answer: dict, expiry: float | None) -> None:
-        """DISTINCT or REDUCED, then OFFSET, then LIMIT; the last answer of a limit cancels."""
+        """REDUCED, then OFFSET, then LIMIT; the last answer of a limit cancels."""
         if not self.active:
             return
         q = self.query
-        key = tuple(answer.values())
-        if q.distinct:
-            if key in self.answered:
-                return
-            self.answered.add(key)
-        elif q.reduced and not self.seen.first(key):
+        if q.reduced and not q.distinct and not self.seen.first(tuple(answer.values())):
             return
         if self.skipped < q.offset:
             self.skipped += 1
@@ -247,6 +245,8 @@ class StreamEngine:
             part = compile_query(replace(plain, graph=own), catalog, meta=True)
             answers = part if answers is None else answers.unionByName(part)
         ask = s.query.form == "ASK"
+        if s.query.distinct and not ask:
+            answers = self._unanswered(s, answers)
         # Answers go to a callback in this process one by one; a limit ends the pass.
         for row in answers.orderBy("emitted_at", *[f"`{c}`" for c in answers.columns if c not in ("emitted_at", "expires_at")]).toLocalIterator():
             values = row.asDict()
@@ -257,6 +257,20 @@ class StreamEngine:
             if not s.active:
                 break
 
+    def _unanswered(self, s: Subscription, answers: DataFrame) -> DataFrame:
+        """Each answer once, and only those that ``s`` has not given; what it gives now is written beside the tuples."""
+        names = [n for n, _ in s.query.outputs()]
+        last = F.when(F.count(F.lit(1)) == F.count("expires_at"), F.max("expires_at")).alias("expires_at")
+        new = answers.groupBy(*[F.col(f"`{n}`") for n in names]).agg(F.min("emitted_at").alias("emitted_at"), last)
+        if s.answered:
+            given = self.spark.read.schema(new.schema).parquet(*s.answered)
+            same = F.lit(True)
+            for n in names:
+                same = same & new[f"`{n}`"].eqNullSafe(given[f"`{n}`"])
+            new = new.join(given, same, "left_anti")
+        s.answered.append(self.store.write(new))
+        return self.spark.read.schema(new.schema).parquet(s.answered[-1])
+
     def _follow(self, wanted: DataFrame) -> None:
         found, self.known = expand(self.resolver, wanted, self.known)
         rows = found.limit(1).head(1)

@@ -38,12 +38,12 @@ class TupleStore:
         self.root = shared_folder(spark, "tuplewave-state")
         self.schema = ", ".join(f"`{c}` string" for c in columns) + ", seq long, arrival timestamp, expires_at timestamp"
 
-    def _write(self, df: DataFrame) -> str:
+    def write(self, df: DataFrame) -> str:
         path = f"{self.root}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         return path
 
-    def _delete(self, path: str) -> None:
+    def delete(self, path: str) -> None:
         place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
@@ -58,12 +58,12 @@ class TupleStore:
         stamp = lambda t: F.timestamp_micros(F.lit(round(t * 1e6))) if t is not None else F.lit(None).cast("timestamp")
         nth = F.row_number().over(W.orderBy("nth")) if "nth" in df.columns else F.monotonically_increasing_id() + 1
         rows = df.select(*self.columns, (nth + self.seq).cast("long").alias("seq"), stamp(now).alias("arrival"), stamp(end).alias("expires_at"))
-        path = self._write(rows)
+        path = self.write(rows)
         got = self.spark.read.schema(self.schema).parquet(path).agg(F.count(F.lit(1)), F.max("seq")).head()
         if batch is not None:
             self.made.add(batch)
         if not got[0]:
-            self._delete(path)
+            self.delete(path)
             return 0
         self.parts.append(path)
         self.seq = got[1]
@@ -91,13 +91,13 @@ class TupleStore:
         self.fresh = 0
         if not before:
             return False
-        path = self._write(change(self.all()).select(*self.columns, "seq", "arrival", "expires_at"))
+        path = self.write(change(self.all()).select(*self.columns, "seq", "arrival", "expires_at"))
         old, self.parts = self.parts, [path]
         for part in old:
-            self._delete(part)
+            self.delete(part)
         return self.all().count() < before
 
     def clear(self) -> None:
         self.parts, self.seq, self.fresh = [], 0, 0
         self.made.clear()
-        self._delete(self.root)
+        self.delete(self.root)
