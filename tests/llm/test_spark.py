@@ -218,6 +218,25 @@ def test_near_duplicates_of_one_large_group(spark, monkeypatch):
     assert {r["class_id"] for r in got} == {0} and len(got) == 400
 
 
+@pytest.mark.parametrize("near", [56, 0])
+def test_near_duplicates_are_all_pairs_that_meet_the_similarity(spark, near):
+    """Links whose fingerprints are far apart, by few distinct words or by a search that reaches nothing, and chains of edits."""
+    rng = random.Random(4)
+    rows = [(i, t) for i, t, *_ in ROWS]
+    for g in range(30):
+        few = " ".join(rng.choice([f"a{g}", f"b{g}"]) for _ in range(60))
+        rows += [(2000 + 2 * g, few), (2001 + 2 * g, few + f" c{g}")]
+    for g in range(6):
+        w = prose(rng.randint(60, 200)).split() + ["the", "same", "last", "line", "everywhere"]
+        for k in range(8):
+            rows.append((3000 + 10 * g + k, " ".join(w)))
+            for _ in range(rng.randint(1, 1 + len(w) // 60)):
+                w[rng.randrange(len(w))] = f"edit{k}"
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(df, "doc_id", near=near).collect()}
+    assert got == classes_by_brute_force(rows)
+
+
 def test_packing(spark, docs):
     """Ids, checksums and places of every piece, and as many sequences as best fit takes piece by piece; repeated and null ids."""
     import zlib

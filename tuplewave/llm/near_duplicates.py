@@ -1,4 +1,4 @@
-"""Near-duplicates of a given shingle similarity by deletion-variant signatures of a long SimHash.
+"""Near-duplicates of a given shingle similarity by deletion-variant signatures of a long SimHash and a prefix join.
 
 A text's fingerprint is the majority of the 256-bit hashes of its distinct words. Words change less than shingles: where
 edits leave 0.8 of the five-word shingles, about 6 % of these bits differ, against 13 % of those of a fingerprint of the
@@ -6,10 +6,16 @@ shingles. The fingerprint is cut into eight segments. Up to 15 differing bits le
 for certain; at 6 % the chance is 0.98. Every segment is indexed with each of its bits wildcarded in turn, and equal keys
 make groups. In a group a spanning forest links fingerprints that are near, from the one next to the group's majority on,
 so that edited copies are compared with what they were made from. Each link is verified by the exact Jaccard similarity of
-the two texts' sets of shingles, and verified links make the classes.
+the two texts' sets of shingles, and verified links make the first classes.
 
-Equal texts (lower-cased, by words) are one text throughout. Groups are read in parts, each of which takes the last
-part's first fingerprint along, so memory does not grow with a group.
+Fingerprints and forests miss links, so all pairs of texts in different classes that can meet the similarity are found by
+a prefix join, which is exact: in any one order of all shingles, two sets of similarity t share one of the first
+``size - ceil(t * size) + 1`` of each, and what follows their first shared one is long enough for the overlap. Shingles
+that a sample finds in many texts come last in the order, so groups stay small; a group within one class is left out. The
+pairs are verified like the links and join the classes.
+
+Equal texts (lower-cased, by words) are one text throughout. Fingerprints' groups are read in parts, each of which takes
+the last part's first fingerprint along, so memory does not grow with a group.
 
 Nulls: a null text is empty; all texts without a word are equal. Texts with fewer words than a shingle have one shingle.
 Repeated rows share their class. Empty tables give empty results. Only the key and the text are read.
@@ -17,6 +23,7 @@ Repeated rows share their class. Empty tables give empty results. Only the key a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank, drop_table, materialize, ready
+from .common import blank, broadcast_if_small, drop_table, materialize, ready
 from .components import connected_components
 
 BITS, SEGMENT = 256, 32
@@ -35,6 +42,10 @@ NEAR = 56
 PART = 20_000
 #: Words whose hashes a task remembers.
 CACHE = 200_000
+#: Texts of which shingles are counted for the order of the prefix join, and the commonest that come last. Any order is exact.
+SAMPLE, COMMON = 20_000, 1 << 17
+#: Pairs of a group that are looked at, or given out, at once.
+BLOCK = 1 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -93,41 +104,48 @@ def variants(prints: np.ndarray) -> np.ndarray:
     return ((parts[:, :, None] & ~(1 << bits)) | label).reshape(len(prints), -1)
 
 
-def _groups(texts: DataFrame) -> DataFrame:
-    """``group``, ``node`` of all texts that share a variant with another one."""
+def _shared(dealt: DataFrame) -> DataFrame:
+    """The rows (numbers, the first is ``group``) whose group has another row, sorted by the group."""
+    names = dealt.columns
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                prints = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                keys = variants(prints)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1]))], names=["group", "node"])
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, node, before = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        before = None
 
         def out(last: bool) -> pa.RecordBatch:
             """Rows whose group goes on before or after; the last one waits for what follows."""
+            group = held[0]
             n = len(group) if last else len(group) - 1
             same = np.zeros(len(group) + 1, bool)
             same[1:-1] = group[1:] == group[:-1]
-            same[0] = before is not None and len(group) and group[0] == before
+            same[0] = before is not None and group[0] == before
             keep = (same[:-1] | same[1:])[:n]
-            return pa.RecordBatch.from_arrays([pa.array(group[:n][keep]), pa.array(node[:n][keep])], names=["group", "node"])
+            return pa.RecordBatch.from_arrays([pa.array(x[:n][keep]) for x in held], names=names)
 
         for batch in batches:
-            group = np.concatenate((group, batch.column(0).to_numpy()))
-            node = np.concatenate((node, batch.column(1).to_numpy()))
-            if len(group) > 1:
+            new = [x.to_numpy() for x in batch.columns]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+            if len(held[0]) > 1:
                 yield out(False)
-                before, group, node = group[-2], group[-1:], node[-1:]
-        if len(group):
+                before, held = held[0][-2], [x[-1:] for x in held]
+        if held and len(held[0]):
             yield out(True)
 
-    kind = "group bigint, node bigint"
-    dealt = texts.select("node", "print").mapInArrow(spread, kind).repartition("group").sortWithinPartitions("group")
-    return dealt.mapInArrow(shared, kind)
+    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(run, dealt.schema)
+
+
+def _groups(texts: DataFrame) -> DataFrame:
+    """``group``, ``node`` of all texts that share a variant with another one."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                prints = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                keys = variants(prints)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1]))], names=["group", "node"])
+
+    return _shared(texts.select("node", "print").mapInArrow(spread, "group bigint, node bigint"))
 
 
 def forest(prints: np.ndarray, near: int = NEAR) -> list[tuple[int, int]]:
@@ -196,7 +214,110 @@ def _links(groups: DataFrame, near: int) -> DataFrame:
     return dealt.mapInArrow(run, "src bigint, dst bigint").where("src != dst").distinct()
 
 
-def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def prefix_size(size: int, similarity: float) -> int:
+    """Of sets that meet the similarity, one of so many first shingles is in the other's first ones."""
+    return size - max(1, math.ceil(similarity * size - 1e-6)) + 1
+
+
+def _sampled(own: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles of a sample of the texts, sorted, and how many texts have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(words_of(text.as_py()), shingle).view(np.int64))], names=["group"])
+
+    some = own.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // SAMPLE))) == 0).mapInArrow(run, "group bigint")
+    found = some.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "group").limit(COMMON).toArrow()
+    group, count = found["group"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(group)
+    return group[order], count[order]
+
+
+def _prefixes(own: DataFrame, shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``group`` (a shingle of the prefix), ``id`` (a hash of the content), ``size`` of the set, ``pos`` in its order."""
+    known, count = common
+
+    def rows_of(text: str | None) -> list[np.ndarray]:
+        words = words_of(text)
+        own = shingles(words, shingle)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            own = own[np.lexsort((own, np.where(known[at] == own, count[at], 0)))]
+        first = own[: prefix_size(len(own), similarity)].view(np.int64)
+        name = np.uint64(xxhash.xxh64_intdigest(xxhash.xxh3_128_digest(b" ".join(words)), 42)).astype(np.int64)
+        return [first, np.full(len(first), name), np.full(len(first), len(own), np.int32), np.arange(len(first), dtype=np.int32)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                found = [rows_of(t.as_py()) for t in batch.column(1).slice(at, 256)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["group", "id", "size", "pos"])
+
+    return own.mapInArrow(run, "group bigint, id bigint, size int, pos int")
+
+
+def group_pairs(node: np.ndarray, root: np.ndarray, size: np.ndarray, pos: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes (by rising size) of different roots whose sizes and places of the shared shingle allow the similarity."""
+    n, at = len(node), 0
+    ends = np.searchsorted(size, size / similarity + 1e-6, side="right")
+    left = size - pos
+    while at < n - 1:
+        step = max(1, BLOCK // max(1, int(ends[at]) - at))
+        step = max(1, BLOCK // max(1, int(ends[min(at + step, n) - 1]) - at))
+        i = np.arange(at, min(at + step, n))[:, None]
+        j = np.arange(at + 1, int(ends[i[-1, 0]]))[None, :]
+        at += step
+        if not j.size:
+            continue
+        enough = np.minimum(left[i], left[j]) >= (size[i] + size[j]) * (similarity / (1 + similarity)) - 1e-6
+        a, b = np.nonzero((j > i) & (root[i] != root[j]) & enough)
+        if len(a):
+            yield node[i[a, 0]], node[j[0, b]]
+
+
+def _pairs(groups: DataFrame, similarity: float) -> DataFrame:
+    """``src``, ``dst``: pairs that may meet the similarity, of groups (columns group, node, root, size, pos)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        current = None
+
+        def decide() -> Iterator[pa.RecordBatch]:
+            node, root, size, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            if (root == root[0]).all():
+                return
+            for a, b in group_pairs(node, root, size.astype(np.int64), pos, similarity):
+                for at in range(0, len(a), 1 << 16):
+                    x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["src", "dst"])
+
+        for batch in batches:
+            group, *rest = (x.to_numpy() for x in batch.columns)
+            cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if group[a] != current:
+                    if held:
+                        yield from decide()
+                    held, current = [], group[a]
+                held.append([x[a:b] for x in rest])
+        if held:
+            yield from decide()
+
+    dealt = groups.select("group", "node", "root", "size", "pos").repartition("group").sortWithinPartitions("group", "size")
+    return dealt.mapInArrow(run, "src bigint, dst bigint").where("src != dst").distinct()
+
+
+def _verified(links: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links (a written table, which is deleted) whose texts' sets of shingles have the similarity."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(words_of(t.as_py()), shingle).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "set"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(batch.column(2), batch.column(3), strict=True)
@@ -204,9 +325,28 @@ def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             keep = [similarity_of(as_set(a), as_set(b)) >= similarity for a, b in pairs]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    both = links.join(sets.select(F.col("node").alias("src"), F.col("set").alias("a")), "src")
-    both = both.join(sets.select(F.col("node").alias("dst"), F.col("set").alias("b")), "dst")
-    return both.select("src", "dst", "a", "b").mapInArrow(run, "src bigint, dst bigint")
+    used = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct().join(texts.select("node", "least"), "node")
+    own = rows.join(used, F.col("key") == F.col("least")).select("node", "text").mapInArrow(sets, "node bigint, set binary")
+    own = materialize(own, "near-sets")
+    both = links.join(own.select(F.col("node").alias("src"), F.col("set").alias("a")), "src")
+    both = both.join(own.select(F.col("node").alias("dst"), F.col("set").alias("b")), "dst")
+    sure = materialize(both.select("src", "dst", "a", "b").mapInArrow(run, "src bigint, dst bigint"), "near-verified")
+    drop_table(own)
+    drop_table(links)
+    return sure
+
+
+def _left_out(rows: DataFrame, marked: DataFrame, texts: DataFrame, member: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``src``, ``dst``: all pairs of texts of different classes (``member``) that can meet the similarity, and some others."""
+    copies = marked.join(texts.select("content", "least"), "content").where("key != least").select(F.col("key").alias("copy"))
+    own = rows.join(broadcast_if_small(materialize(copies, "near-copies")), F.col("key") == F.col("copy"), "left_anti")
+    common = _sampled(own, texts.count(), shingle)
+    found = materialize(_shared(_prefixes(own, shingle, similarity, common)), "near-prefixes")
+    named = texts.select("node", F.xxhash64("content").alias("id")).join(member.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
+    named = named.select("id", "node", F.coalesce("root", "node").alias("root"))
+    out = materialize(_pairs(found.join(named, "id"), similarity), "near-pairs")
+    drop_table(found)
+    return out
 
 
 def near_duplicates(docs: DataFrame, key: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, near: int = NEAR) -> DataFrame:
@@ -220,19 +360,11 @@ def near_duplicates(docs: DataFrame, key: str, text_col: str = "text", shingle:
     shared = materialize(_groups(texts), "near-groups")
     links = materialize(_links(shared.join(texts.select("node", "print"), "node"), near), "near-links")
     drop_table(shared)
-    used = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct().join(texts.select("node", "least"), "node")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(words_of(t.as_py()), shingle).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "set"])
-
-    own = rows.join(used, F.col("key") == F.col("least")).select("node", "text").mapInArrow(sets, "node bigint, set binary")
-    own = materialize(own, "near-sets")
-    sure = materialize(_verified(links, own, similarity), "near-verified")
-    drop_table(own)
-    drop_table(links)
-    member = connected_components(sure).withColumnRenamed("node", "member")
+    member = connected_components(_verified(links, rows, texts, shingle, similarity))
+    more = _verified(_left_out(rows, marked, texts, member, shingle, similarity), rows, texts, shingle, similarity)
+    if more.head(1):
+        member = connected_components(more.union(member.select("node", "root")))
+    member = member.withColumnRenamed("node", "member")
     named = texts.join(member, F.col("node") == F.col("member"), "left").select("content", "least", F.coalesce("root", "node").alias("root"))
     best = named.groupBy("root").agg(F.min("least").alias("class_id"))
     classes = materialize(named.join(best, "root").select("content", "class_id"), "near-classes")
