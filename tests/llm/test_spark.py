@@ -237,6 +237,32 @@ def test_near_duplicates_are_all_pairs_that_meet_the_similarity(spark, near):
     assert got == classes_by_brute_force(rows)
 
 
+def test_near_duplicates_write_no_pairs_of_a_group(spark):
+    """Links of many texts of different classes that are alike, and of others that share a passage only, grow in proportion."""
+    from tuplewave.llm import near_duplicates as N
+
+    def links(n):
+        rng = random.Random(n)
+        base, passage, rows = [f"word{i}" for i in range(150)], " ".join(f"rare{i}" for i in range(30)), []
+        for i in range(n):
+            w = base[:]
+            w[rng.randrange(150)] = f"edit{i}"
+            rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(f"own{i}x{k}" for k in range(90)) + " " + passage)]
+        df = spark.createDataFrame(rows, "key long, text string")
+        marked = N._signatures(df, "bigint").cache()
+        texts = marked.select(F.col("key").alias("node"), "content", F.col("key").alias("least"))
+        alone = spark.createDataFrame([], "node long, root long")
+        return [(r["src"], r["dst"]) for r in N._left_out(df, marked, texts, alone, 5, 0.8).collect()], n
+
+    few, many = (links(n) for n in (40, 160))
+    for found, n in (few, many):
+        reached = {0}
+        for _ in range(n):
+            reached |= {x for pair in found if reached & set(pair) for x in pair}
+        assert reached == set(range(0, 2 * n, 2)) and all(x % 2 == 0 for pair in found for x in pair)
+    assert len(many[0]) < 8 * len(few[0])
+
+
 def test_packing(spark, docs):
     """Ids, checksums and places of every piece, and as many sequences as best fit takes piece by piece; repeated and null ids."""
     import zlib

@@ -11,11 +11,17 @@ the two texts' sets of shingles, and verified links make the first classes.
 Fingerprints and forests miss links, so all pairs of texts in different classes that can meet the similarity are found by
 a prefix join, which is exact: in any one order of all shingles, two sets of similarity t share one of the first
 ``size - ceil(t * size) + 1`` of each, and what follows their first shared one is long enough for the overlap. Shingles
-that a sample finds in many texts come last in the order, so groups stay small; a group within one class is left out. The
-pairs are verified like the links and join the classes.
+that a sample finds in many texts come last in the order, so groups stay small; a group within one class is left out.
+
+Texts that share a rare passage make groups without being alike, and their pairs grow with the square of a group, so no
+pairs are written. Three passes over the groups write a row for a text of a group at most. The first keeps the texts that
+have a partner by size and place; groups of the same texts become one. The second keeps those that have one by sketches of
+the sets: each shingle flips a bit, so sets differ in at least as many shingles as sketches in bits, and the sketch is as
+long as the set is large. The third has the sets of the few that are left and gives the links of a forest among the classes
+of each group, every link verified by the exact similarity; only pairs that verified links already join are left out.
 
 Equal texts (lower-cased, by words) are one text throughout. Fingerprints' groups are read in parts, each of which takes
-the last part's first fingerprint along, so memory does not grow with a group.
+the last part's first fingerprint along, so memory does not grow with a group. The sets of a group wait in a local file.
 
 Nulls: a null text is empty; all texts without a word are equal. Texts with fewer words than a shingle have one shingle.
 Repeated rows share their class. Empty tables give empty results. Only the key and the text are read.
@@ -24,7 +30,8 @@ Repeated rows share their class. Empty tables give empty results. Only the key a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +51,10 @@ PART = 20_000
 CACHE = 200_000
 #: Texts of which shingles are counted for the order of the prefix join, and the commonest that come last. Any order is exact.
 SAMPLE, COMMON = 20_000, 1 << 17
-#: Pairs of a group that are looked at, or given out, at once.
-BLOCK = 1 << 20
+#: Pairs of a group that are looked at at once, and those of them between which classes are joined.
+BLOCK, TURN = 1 << 20, 1 << 10
+#: Bits of a sketch at least and at most.
+LEAST_BITS, MOST_BITS = 64, 1 << 15
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -257,9 +266,16 @@ def _prefixes(own: DataFrame, shingle: int, similarity: float, common: tuple[np.
     return own.mapInArrow(run, "group bigint, id bigint, size int, pos int")
 
 
-def group_pairs(node: np.ndarray, root: np.ndarray, size: np.ndarray, pos: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes (by rising size) of different roots whose sizes and places of the shared shingle allow the similarity."""
-    n, at = len(node), 0
+def sketch(own: np.ndarray) -> bytes:
+    """A bit for each remainder of the hashes, one if an odd number of them has it; bits are a power of two."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, len(own) - 1).bit_length()))
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def group_pairs(root: np.ndarray, size: np.ndarray, pos: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs (by rising size) of different roots whose sizes and places of the shared shingle allow the similarity."""
+    n, at = len(root), 0
     ends = np.searchsorted(size, size / similarity + 1e-6, side="right")
     left = size - pos
     while at < n - 1:
@@ -273,51 +289,164 @@ def group_pairs(node: np.ndarray, root: np.ndarray, size: np.ndarray, pos: np.nd
         enough = np.minimum(left[i], left[j]) >= (size[i] + size[j]) * (similarity / (1 + similarity)) - 1e-6
         a, b = np.nonzero((j > i) & (root[i] != root[j]) & enough)
         if len(a):
-            yield node[i[a, 0]], node[j[0, b]]
+            yield i[a, 0], j[0, b]
+
+
+def sketches_allow(sketches: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of places may meet the similarity; the longer sketch is folded to the other's bits."""
+    words = np.array([len(x) // 8 for x in sketches])
+    shorter = np.minimum(words[i], words[j])
+    most = (size[i] + size[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    keep = np.zeros(len(i), bool)
+    for w in np.unique(shorter).tolist():
+        at = np.flatnonzero(shorter == w)
+        used, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+        table = np.stack([np.bitwise_xor.reduce(np.frombuffer(sketches[k], np.uint64).reshape(-1, w), axis=0) for k in used.tolist()])
+        x, y = place[: len(at)], place[len(at) :]
+        step = max(1, BLOCK // w)
+        for k in range(0, len(at), step):
+            differ = np.bitwise_count(table[x[k : k + step]] ^ table[y[k : k + step]]).sum(axis=1)
+            keep[at[k : k + step]] = differ <= most[at[k : k + step]]
+    return keep
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], hold: Callable[..., list[np.ndarray]] = lambda *columns: list(columns)) -> Iterator[list[np.ndarray]]:
+    """The other columns of each run of equal values of the first one, as ``hold`` keeps them."""
+    held: list[list[np.ndarray]] = []
+    current = None
+    for batch in batches:
+        group, *rest = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+        cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if held and group[a] != current:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held = []
+            current = group[a]
+            held.append(hold(*[x[a:b] for x in rest]))
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _dealt(groups: DataFrame, *columns: str) -> DataFrame:
+    return groups.select(*columns).repartition("group").sortWithinPartitions("group", "size", "node")
+
+
+_LEFT = "group bigint, node bigint, root bigint, size int"
+
+
+def _left(node: np.ndarray, root: np.ndarray, size: np.ndarray, has: np.ndarray) -> pa.RecordBatch:
+    """The rows of those that have a partner. Their group is named by them, so groups of the same texts become one."""
+    name = np.uint64(xxhash.xxh64_intdigest(np.sort(node[has]).tobytes())).astype(np.int64)
+    columns = [np.full(int(has.sum()), name), node[has], root[has], size[has].astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["group", "node", "root", "size"])
+
+
+def _joined(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of some thousand rows of many small ones."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for part in parts:
+        held.append(part)
+        rows += part.num_rows
+        if rows >= 1 << 13:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches(1 << 16)
+            held, rows = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches(1 << 16)
+
+
+def _by_place(groups: DataFrame, similarity: float) -> DataFrame:
+    """Texts of groups (columns group, node, root, size, pos) that may be alike to one of another class by size and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, root, size, pos in _by_group(batches):
+            if (root == root[0]).all():
+                continue
+            has = np.zeros(len(node), bool)
+            for i, j in group_pairs(root, size.astype(np.int64), pos, similarity):
+                has[i] = has[j] = True
+            if has.any():
+                yield _left(node, root, size, has)
+
+    return _dealt(groups, "group", "node", "root", "size", "pos").mapInArrow(lambda x: _joined(run(x)), _LEFT).distinct()
 
 
-def _pairs(groups: DataFrame, similarity: float) -> DataFrame:
-    """``src``, ``dst``: pairs that may meet the similarity, of groups (columns group, node, root, size, pos)."""
+def _by_sketch(groups: DataFrame, similarity: float) -> DataFrame:
+    """Texts of groups (columns group, node, root, size, made) that may be alike to one of another class by their sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        current = None
+        for node, root, size, made in _by_group(batches):
+            size, has = size.astype(np.int64), np.zeros(len(node), bool)
+            for i, j in group_pairs(root, size, np.zeros_like(size), similarity):
+                keep = sketches_allow(made, size, i, j, similarity)
+                has[i[keep]] = has[j[keep]] = True
+            if has.any():
+                yield _left(node, root, size, has)
+
+    return _dealt(groups, "group", "node", "root", "size", "made").mapInArrow(lambda x: _joined(run(x)), _LEFT).distinct()
+
+
+def class_links(root: np.ndarray, size: np.ndarray, sketches: np.ndarray, set_of: Callable[[int], np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+    """Places of pairs that meet the similarity: a spanning forest of the roots that all such pairs of the group join."""
+    label = root.copy()
+    for i, j in group_pairs(label, size, np.zeros_like(size), similarity):
+        keep = sketches_allow(sketches, size, i, j, similarity)
+        i, j = i[keep], j[keep]
+        for at in range(0, len(i), TURN):
+            a, b = i[at : at + TURN], j[at : at + TURN]
+            apart = label[a] != label[b]
+            for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+                if label[x] != label[y] and similarity_of(set_of(x), set_of(y)) >= similarity:
+                    label[label == label[y]] = label[x]
+                    yield x, y
+
+
+def _by_set(groups: DataFrame, similarity: float) -> DataFrame:
+    """``src``, ``dst``: links of groups (columns group, node, root, size, made) between classes, verified by the sets."""
 
-        def decide() -> Iterator[pa.RecordBatch]:
-            node, root, size, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            if (root == root[0]).all():
-                return
-            for a, b in group_pairs(node, root, size.astype(np.int64), pos, similarity):
-                for at in range(0, len(a), 1 << 16):
-                    x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["src", "dst"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryFile() as file:
+
+            def hold(node: np.ndarray, root: np.ndarray, size: np.ndarray, made: np.ndarray) -> list[np.ndarray]:
+                start, short = np.empty(len(node), np.int64), np.empty(len(node), object)
+                for k, own in enumerate(made):
+                    start[k] = file.tell()
+                    file.write(own)
+                    short[k] = sketch(np.frombuffer(own, np.uint64))
+                return [node, root, size.astype(np.int64), start, short]
+
+            for node, root, size, start, short in _by_group(batches, hold):
+
+                def set_of(k: int, start: np.ndarray = start, size: np.ndarray = size) -> np.ndarray:
+                    file.seek(int(start[k]))
+                    return np.frombuffer(file.read(8 * int(size[k])), np.uint64)
+
+                pairs = [sorted((int(node[x]), int(node[y]))) for x, y in class_links(root, size, short, set_of, similarity)]
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+                file.seek(0)
+                file.truncate()
 
+    return _dealt(groups, "group", "node", "root", "size", "made").mapInArrow(run, "src bigint, dst bigint").distinct()
+
+
+def _made(nodes: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int, of: Callable[[np.ndarray], bytes], name: str) -> DataFrame:
+    """``node``, ``made``: what ``of`` makes of the set of shingles, for the distinct nodes of ``nodes``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            group, *rest = (x.to_numpy() for x in batch.columns)
-            cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                if group[a] != current:
-                    if held:
-                        yield from decide()
-                    held, current = [], group[a]
-                held.append([x[a:b] for x in rest])
-        if held:
-            yield from decide()
-
-    dealt = groups.select("group", "node", "root", "size", "pos").repartition("group").sortWithinPartitions("group", "size")
-    return dealt.mapInArrow(run, "src bigint, dst bigint").where("src != dst").distinct()
+            found = [of(shingles(words_of(t.as_py()), shingle)) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "made"])
+
+    used = nodes.select("node").distinct().join(texts.select("node", "least"), "node")
+    own = rows.join(used, F.col("key") == F.col("least")).select("node", "text")
+    return materialize(own.mapInArrow(run, "node bigint, made binary"), name)
 
 
 def _verified(links: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The links (a written table, which is deleted) whose texts' sets of shingles have the similarity."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(words_of(t.as_py()), shingle).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "set"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(batch.column(2), batch.column(3), strict=True)
@@ -325,11 +454,9 @@ def _verified(links: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int,
             keep = [similarity_of(as_set(a), as_set(b)) >= similarity for a, b in pairs]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    used = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct().join(texts.select("node", "least"), "node")
-    own = rows.join(used, F.col("key") == F.col("least")).select("node", "text").mapInArrow(sets, "node bigint, set binary")
-    own = materialize(own, "near-sets")
-    both = links.join(own.select(F.col("node").alias("src"), F.col("set").alias("a")), "src")
-    both = both.join(own.select(F.col("node").alias("dst"), F.col("set").alias("b")), "dst")
+    own = _made(links.select(F.col("src").alias("node")).union(links.select("dst")), rows, texts, shingle, np.ndarray.tobytes, "near-sets")
+    both = links.join(own.select(F.col("node").alias("src"), F.col("made").alias("a")), "src")
+    both = both.join(own.select(F.col("node").alias("dst"), F.col("made").alias("b")), "dst")
     sure = materialize(both.select("src", "dst", "a", "b").mapInArrow(run, "src bigint, dst bigint"), "near-verified")
     drop_table(own)
     drop_table(links)
@@ -337,16 +464,22 @@ def _verified(links: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int,
 
 
 def _left_out(rows: DataFrame, marked: DataFrame, texts: DataFrame, member: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``src``, ``dst``: all pairs of texts of different classes (``member``) that can meet the similarity, and some others."""
+    """``src``, ``dst``: pairs of texts that meet the similarity, which join all classes (``member``) that any such pair joins."""
     copies = marked.join(texts.select("content", "least"), "content").where("key != least").select(F.col("key").alias("copy"))
     own = rows.join(broadcast_if_small(materialize(copies, "near-copies")), F.col("key") == F.col("copy"), "left_anti")
     common = _sampled(own, texts.count(), shingle)
     found = materialize(_shared(_prefixes(own, shingle, similarity, common)), "near-prefixes")
     named = texts.select("node", F.xxhash64("content").alias("id")).join(member.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
     named = named.select("id", "node", F.coalesce("root", "node").alias("root"))
-    out = materialize(_pairs(found.join(named, "id"), similarity), "near-pairs")
+    left = materialize(_by_place(found.join(named, "id"), similarity), "near-by-place")
     drop_table(found)
-    return out
+    for step, of, name in ((_by_sketch, sketch, "near-by-sketch"), (_by_set, np.ndarray.tobytes, "near-more")):
+        own = _made(left, rows, texts, shingle, of, f"{name}-made")
+        after = materialize(step(left.join(own, "node"), similarity), name)
+        drop_table(own)
+        drop_table(left)
+        left = after
+    return left
 
 
 def near_duplicates(docs: DataFrame, key: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, near: int = NEAR) -> DataFrame:
@@ -361,7 +494,7 @@ def near_duplicates(docs: DataFrame, key: str, text_col: str = "text", shingle:
     links = materialize(_links(shared.join(texts.select("node", "print"), "node"), near), "near-links")
     drop_table(shared)
     member = connected_components(_verified(links, rows, texts, shingle, similarity))
-    more = _verified(_left_out(rows, marked, texts, member, shingle, similarity), rows, texts, shingle, similarity)
+    more = _left_out(rows, marked, texts, member, shingle, similarity)
     if more.head(1):
         member = connected_components(more.union(member.select("node", "root")))
     member = member.withColumnRenamed("node", "member")
